@@ -6,7 +6,8 @@ Steps, all DataFrame expressions:
    doc_id, so a source with a third of all rows is spread over all shards.
 2. Targets: ``share`` times all words, dealt by weight; a source stops at ``max_epochs`` times its size and the
    excess goes to the others by weight (water-filling, solved in closed form over the sources' table).
-3. Blocks of equal length are dealt to the cells by the highest quotients target / (2 k + 1): integer quotas per shard.
+3. Blocks of equal length are dealt to the sources by the highest quotients target / (2 k + 1), and each source's blocks
+   to its shards by the quotients of their sizes: integer quotas per shard.
 4. Each cell lines its documents up in a seeded order, cuts the line into blocks and takes its quota of blocks,
    going round at most ``max_epochs`` times; a document gets the words of the blocks that cover it.
 
@@ -51,20 +52,20 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ma
     return s.withColumn("target", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight")))).select("source", "source_size", "weight", "target")
 
 
-def sainte_lague(votes: DataFrame, key: list[str], vote: str, seats: str) -> DataFrame:
-    """Deal ``seats`` (a column that is the same in all rows) to the rows by the highest quotients vote / (2 k + 1).
+def sainte_lague(votes: DataFrame, key: list[str], vote: str, seats: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Deal ``seats`` (the same in all rows of a group of ``within``) to the group's rows by the highest quotients vote / (2 k + 1).
 
     Any divisor leaves each row within one of (seats +- rows / 2) * vote / total: only the quotients between these two
     counts are ranked, about two per row. Ties go to the smaller key. Zero or null votes get nothing.
     """
-    whole = Window.partitionBy()
+    whole = Window.partitionBy(*within)
     v = votes.withColumn("_all", F.sum(vote).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
     share = F.when(F.col("_all") > 0, F.col(vote) / F.col("_all")).otherwise(F.lit(0.0))
     v = v.withColumn("_low", F.greatest(F.lit(0), F.floor((F.col(seats) - F.col("_n") / 2) * share + 0.5) - 1).cast("long"))
     v = v.withColumn("_high", F.greatest(F.col("_low"), (F.floor((F.col(seats) + F.col("_n") / 2) * share + 0.5) + 1).cast("long")))
     v = v.withColumn("_left", F.col(seats) - F.sum("_low").over(whole))
     q = v.select(*key, vote, "_left", F.explode(F.sequence(F.col("_low"), F.col("_high"))).alias("_k"))
-    q = q.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(F.col(vote) / (2 * F.col("_k") + 1)), *key, "_k")))
+    q = q.withColumn("_rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(F.col(vote) / (2 * F.col("_k") + 1)), *key, "_k")))
     won = q.where((F.col("_rank") <= F.col("_left")) & (F.col(vote) > 0)).groupBy(*key).agg(F.count(F.lit(1)).alias("_won"))
     on = [F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key]
     return v.alias("v").join(won.alias("w"), on, "left").select(*[F.col(f"v.{c}").alias(c) for c in votes.columns], (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("quota"))
@@ -79,13 +80,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     # the cells are shards times sources: a small table, written once
     cells = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, max_epochs)
-    c = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "shard", "cell_size", "source_size", "target")
-    c = c.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size")).otherwise(F.lit(0.0)))
+    # one row per source: windows without keys run over that table only
     whole = Window.partitionBy()
-    total, n = F.sum("votes").over(whole), F.count(F.lit(1)).over(whole)
-    c = c.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(total / (n * BLOCKS_PER_CELL)))).cast("long"))
-    c = c.withColumn("seats", F.round(total / F.col("block")).cast("long"))
-    c = materialize(sainte_lague(c, ["source", "shard"], "votes", "seats"), "mix-quotas")
+    total, n = F.sum("target").over(whole), F.count(F.lit(1)).over(whole)
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(total / (n * shards * BLOCKS_PER_CELL)))).cast("long"))
+    targets = sainte_lague(targets.withColumn("seats", F.round(total / F.col("block")).cast("long")), ["source"], "target", "seats")
+    targets = targets.select("source", "source_size", "target", "block", F.col("quota").alias("source_quota"))
+    c = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "shard", "cell_size", "source_size", "target", "block", "source_quota")
+    c = materialize(sainte_lague(c, ["source", "shard"], "cell_size", "source_quota", ("source",)), "mix-quotas")
     line = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lined = placed.withColumn("end", F.sum("size").over(line))
     d = lined.alias("d").join(c.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import chat, mixing, quality, simhash, urlfilter, warc
 
 QUERIES = {
+    "op1_url_filter": urlfilter.op1,
     "op3_simhash_neardup": simhash.op3,
     "op6_mixing": mixing.op6,
+    "op7_warc_derivatives": warc.op7,
+    "op8_quality_qda": quality.op8,
+    "op9_chat_format": chat.op9,
+}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": urlfilter.OP1_SQL,
+    "op9_chat_format": chat.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
