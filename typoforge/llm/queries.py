@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, simhash, urlfilter, warc
+from . import chat, mixing, quality, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1,
+    "op2_toxicity_ssk": toxicity.op2,
     "op3_simhash_neardup": simhash.op3,
     "op6_mixing": mixing.op6,
     "op7_warc_derivatives": warc.op7,
