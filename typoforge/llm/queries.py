@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, simhash, toxicity, urlfilter, warc
+from . import chat, decontam, mixing, quality, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_warc_derivatives": warc.op7,
     "op8_quality_qda": quality.op8,
     "op9_chat_format": chat.op9,
+    "op10_decontamination": decontam.op10,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": urlfilter.OP1_SQL,
