@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group; of repeated rows with one id, one row stays."""
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op3(spark, sf_dir) -> DataFrame:
