@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, quality, simhash, substring, toxicity, urlfilter, warc
+from . import chat, decontam, mixing, quality, search, simhash, substring, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1,
     "op2_toxicity_ssk": toxicity.op2,
     "op3_simhash_neardup": simhash.op3,
     "op4_suffix_array_dedup": substring.op4,
+    "op5_bm25_topk": search.op5,
     "op6_mixing": mixing.op6,
     "op7_warc_derivatives": warc.op7,
     "op8_quality_qda": quality.op8,
