@@ -1,0 +1 @@
+"""The compiler is a batch job: there is no streaming operator to express. The package keeps the place."""
