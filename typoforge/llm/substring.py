@@ -206,8 +206,33 @@ def _repeated(table):
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
+def _packed(batches):
+    """Texts of a batch by chunk -> (chunk, list of ids, hashes, sizes and bytes), so that shuffles move them compressed."""
+    import pyarrow as pa
+
+    for b in batches:
+        ids, hs, chunk = (np.asarray(b.column(k)) for k in ("__id", "__h", "__chunk"))
+        texts = _bytes(b.column("text"))
+        order = np.argsort(chunk, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(chunk[order]) != 0, [True]))) if len(order) else []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            mine = order[x:y]
+            parts = [texts[i] for i in mine.tolist()]
+            blob = pack(ids[mine], hs[mine], np.fromiter(map(len, parts), np.int64, len(parts)), np.frombuffer(b"".join(parts), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([int(chunk[mine[0]])], pa.int32()), pa.array([blob], pa.binary())], names=["__chunk", "texts"])
+
+
 def _documents(table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    return np.asarray(table.column("__id")), np.asarray(table.column("__h")), _bytes(table.column("text"))
+    """Rows with texts, or packed ones."""
+    if "text" in table.column_names:
+        return np.asarray(table.column("__id")), np.asarray(table.column("__h")), _bytes(table.column("text"))
+    ids, hs, texts = [], [], []
+    for blob in table.column("texts").to_pylist():
+        i, h, size, raw = unpack(blob)
+        ids.append(i), hs.append(h)
+        end, whole = np.cumsum(size).tolist(), raw.tobytes()
+        texts += [whole[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)]
+    return np.concatenate(ids), np.concatenate(hs), texts
 
 
 def _spans_by_chunk(chunk: np.ndarray, ids: np.ndarray, hs: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
@@ -371,7 +396,7 @@ def _apply(columns: list[str] | None):
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in text]).cast(left.column("n_chars").type)
             return pa.table({c: cols[c] for c in columns})
-        doc_id = left.column("doc_id")
+        doc_id = pa.array(ids, pa.int64(), mask=ids == _LAST)
         return pa.table({"doc_id": doc_id, "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array([x[1] for x in got], pa.int64()), "n_spans": pa.array([x[2] for x in got], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())})
 
     return run
@@ -395,12 +420,12 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     answers = materialize(dealt.groupBy("shard").applyInArrow(_repeated, "chunk int, n long, list binary"), "substring-answers")
     found = answers.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-found * 140 // SORT_SHARD))
-    cut = small.groupBy("__chunk").cogroup(answers.select("chunk", "list").groupBy("chunk")).applyInArrow(_cut(hot, parts), "shard int, chunk int, list binary")
+    packed = small.mapInArrow(_packed, "__chunk int, texts binary")
+    cut = packed.groupBy("__chunk").cogroup(answers.select("chunk", "list").groupBy("chunk")).applyInArrow(_cut(hot, parts), "shard int, chunk int, list binary")
     spans = cut.groupBy("shard").applyInArrow(_sort, "chunk int, spans binary").groupBy("chunk")
     if texts:
         return keyed.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(docs.columns), plain.schema)
-    whole = small.withColumn("doc_id", F.when(F.col("__id") == _LAST, F.lit(None)).otherwise(F.col("__id")).cast("long"))
-    return whole.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return packed.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4(spark, sf_dir) -> DataFrame:
