@@ -251,7 +251,8 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    # never looser than the machine's own side of zero
+    return float(max(w[0], 1e-3)), float(min(w[1], 0.0))
 
 
 def fit(toxic: list[set[bytes]], clean: list[set[bytes]], share: float | None = None) -> Model:
@@ -281,10 +282,12 @@ def fit(toxic: list[set[bytes]], clean: list[set[bytes]], share: float | None =
     sizes = [len(positive), len(marks), len(gapped), len(other)]
     y = np.repeat([1.0, 1.0, 1.0, -1.0], sizes)
     weight = np.repeat([100 * v / max(1, n) for v, n in zip((0.4, 0.4, 0.2, 1.0), sizes, strict=True)], sizes)
-    w = _svm(weigh(items, phi @ root), y, weight)
+    # a piece unlike all landmarks is clean: no features, a heavy weight
+    x = np.vstack([weigh(items, phi @ root), np.zeros((1, root.shape[1]))])
+    w = _svm(x, np.append(y, -1.0), np.append(weight, 50.0))
     model = Model(phi @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
-    m = model.margins([*toxic, *clean])
-    label = np.array([1.0] * len(toxic) + [0.0] * len(clean))
+    m = np.append(model.margins([*toxic, *clean]), model.bias)
+    label = np.array([1.0] * len(toxic) + [0.0] * len(clean) + [0.0])
     model.slope, model.shift = _logistic(m, label)
     if share is not None and 0 < share < 1:
         model.shift += np.log(share / (1 - share)) - np.log(len(toxic) / len(clean))
