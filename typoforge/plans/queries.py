@@ -18,12 +18,12 @@ from .engine import KEY, Engine
 from .solver import solve
 
 C = Config()
-_engines: dict[tuple[int, str], Engine] = {}
+_engines: dict[tuple[str, str], Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """One engine for a session and a folder, so that queries share its checkpoints."""
-    key = (id(spark), sf_dir)
+    """One engine for an application and a folder, so that queries share its checkpoints."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         _engines[key] = Engine(spark, read("documents"), read("benchmark"))
