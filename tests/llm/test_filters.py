@@ -76,7 +76,7 @@ def test_slots_must_be_consistent(spark):
     assert {1, 2} <= got
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     html = "<!DOCTYPE html><html><head><title>T &amp; U</title><script>no()</script></head><body><p>One</p><p>Two&nbsp;x</p><a href='/l?a=1&amp;b=2'>link</a><!-- c --></body></html>"
     pages = spark.createDataFrame([(1, "http://a.b/c d", html, "z"), (2, None, None, "z"), (None, "http://x", "", "z"), (1, "http://a.b/c d", html, "z")], "page_id long, url string, html string, block string")
     rows = warc.derivatives(pages).collect()
@@ -89,6 +89,10 @@ def test_warc_round_trip(spark):
     assert bytes(by["conversion"]["block"]).decode() == "One\nTwo x\nlink"
     assert by["conversion"]["refers_to"] == by["metadata"]["refers_to"] == by["response"]["record_id"]
     assert b"outlink: /l?a=1&b=2\r\n" in bytes(by["metadata"]["block"]) and by["response"]["payload_digest"].encode() in bytes(by["metadata"]["raw"])
+    warc.write_warc(warc.derivatives(pages), str(tmp_path / "w"))
+    again = [r for f in (tmp_path / "w").glob("part-*") for r in warc.parse(f.read_bytes())]
+    assert sorted(h["WARC-Record-ID"] for h, _ in again) == sorted(r["record_id"] for r in rows)
+    assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in again)
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 

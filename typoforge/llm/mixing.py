@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialize
+from .common import WORD, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
