@@ -17,6 +17,7 @@ searched for nor found; repeated rows are all found; an empty table gives an emp
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 
 K1, B, TOP = 1.2, 0.75, 10
-BLOCK, COMMON, SHARD_DOCS = 64, 0.04, 32_000
+BLOCK, COMMON, SHARD_DOCS = 64, 0.04, 16_000
 #: Distinct words that a task counts before it sends the counts on.
 HELD = 300_000
 
@@ -79,14 +80,17 @@ class Index:
         self.number: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.length: list[int] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size: list[int] = []
+        self.word, self.count = array("i"), array("i")
         self.ready = False
 
     def add(self, doc_id: int, text: str | None) -> None:
         w = words(text)
         c = Counter(w)
         number = self.number
-        self.parts.append((np.fromiter((number.setdefault(x, len(number)) for x in c), np.int32, len(c)), np.fromiter(c.values(), np.int32, len(c))))
+        self.word.extend([number.setdefault(x, len(number)) for x in c])
+        self.count.extend(c.values())
+        self.size.append(len(c))
         self.ids.append(doc_id)
         self.length.append(len(w))
 
@@ -95,19 +99,17 @@ class Index:
         place = np.lexsort((np.array(self.ids, np.int64), length))
         self.id = np.array(self.ids, np.int64)[place]
         length = length[place]
-        parts = [self.parts[i] for i in place.tolist()]
-        self.parts.clear()
-        size = np.fromiter((len(p[0]) for p in parts), np.int64, len(parts))
-        word = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
-        count = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
-        doc = np.repeat(np.arange(len(parts), dtype=np.int32), size)
-        parts.clear()
+        word, count = np.array(self.word, np.int32), np.array(self.count, np.int32)
+        self.word, self.count = array("i"), array("i")
+        rank = np.empty(len(place), np.int32)
+        rank[place] = np.arange(len(place), dtype=np.int32)
+        doc = np.repeat(rank, self.size)
         norm = K1 * (1 - B + B * length / self.avgdl)
-        order = np.argsort(word, kind="stable")
-        self.doc = doc[order]
-        tf = count[order].astype(np.float64)
-        self.part = tf * (K1 + 1) / (tf + norm[self.doc])  # what idf is multiplied by
-        self.cut = np.searchsorted(word[order], np.arange(len(self.number) + 1))
+        order = np.lexsort((doc, word))
+        self.doc, word, count = doc[order], word[order], count[order]
+        del doc, order
+        self.part = count * (K1 + 1) / (count + norm[self.doc])  # what idf is multiplied by
+        self.cut = np.searchsorted(word, np.arange(len(self.number) + 1))
         self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.block = np.arange(len(self.id)) // BLOCK
         self.ready = True
@@ -167,7 +169,7 @@ def _search(n: int, avgdl: float, top: int):
         import pyarrow as pa
 
         index, shard = None, None
-        for b in batches:
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             out = []
             for s, kind, i, text, found in zip(*[b.column(k).to_pylist() for k in ("shard", "kind", "id", "text", "df")], strict=True):
                 if s != shard:
