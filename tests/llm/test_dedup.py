@@ -117,3 +117,37 @@ def test_queue_keeps_order_on_disk():
     assert q.spilled
     assert q.take(1)[0].tolist() == list(range(1, 50, 3)) and q.take(1) is None
     q.close()
+
+
+def test_pipeline_links_all_pairs_by_jaccard(spark):
+    import corpus_pipeline
+    from tests.llm.cases import words
+
+    rng = random.Random(11)
+    df, rows = documents(spark)
+    more, at = [], 1000
+    for _ in range(25):
+        base = words(rng, rng.randint(30, 200)).split()
+        for k in range(6):
+            t = list(base)
+            for _ in range(rng.randint(0, 1 + len(t) // 40)):
+                t[rng.randrange(len(t))] = f"new{rng.randrange(10**6)}"
+            more.append((at := at + 1, " ".join(t)))
+    line = words(rng, 9)
+    more += [(at + 1 + k, " ".join([line] * 3 + [f"u{k}"] * (k % 3))) for k in range(30)]
+    more += [(5000 + k, " ".join(f"w{x}" for x in range(k, k + 40))) for k in range(0, 30, 3)]
+    docs = df.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    sets = {}
+    for i, t in [r[:2] for r in rows] + more:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets.pop(None)
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b])]
+    far = [(a, b) for a, b in pairs if (brute_fp(dict(more).get(a, "")) ^ brute_fp(dict(more).get(b, ""))).bit_count() > 3]
+    assert len(far) > 50
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r[0] for r in got.where("doc_id is not null").collect()) == sorted(set(brute_components(sets, pairs).values()))
+    assert got.where("doc_id is null").count() == 1
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0

@@ -32,19 +32,25 @@ TASK_ROWS = 400_000
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+def shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each ``shingle`` words, with repeats; of all words if there are fewer; empty if there are none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxh64_intdigest(b" ".join(words), seed)
     flat = b" ".join(words)
+    if len(words) < shingle:
+        return np.array([xxh64_intdigest(flat, seed)] if words else [], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
-    h = np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    h = shingles(text, shingle, seed)
+    n = len(h)
+    if n < 2:
+        return int(h[0]) if n else 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     whole = n // 255 * 255
     ones = bits[whole:].sum(axis=0, dtype=np.int64)
