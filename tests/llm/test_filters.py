@@ -68,6 +68,17 @@ def test_decontamination(spark):
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_verbatim_copies_are_always_found(spark):
+    items = {1: "Compute 12 + 34 * 5 - 6 / 2", 2: "Name three primes", 3: "Explain why the sky looks blue today", 4: "1 2 3 4 5 6 7 8 9 10 11 12", 5: "Anna", 6: "Divide 7 by 2 then 9 by 3 and 8 by 4 or 6"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, f"some words before {t} some words after") for i, t in items.items()] + [(10 + i, f'x "{t}".') for i, t in items.items()] + [(30, "Compute 13 + 34 * 5 - 6 / 2"), (31, "name three even primes"), (32, "annas")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (200_000, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench, broadcast=most).collect()}
+        assert got == {(i + k, i) for i in items for k in (0, 10)}
+    assert {r["doc_id"] for r in decontam.clean_only(docs, bench).collect()} == {30, 31, 32}
+
+
 def test_slots_must_be_consistent(spark):
     item = "then Anna gave Bert seven apples and so Anna asked whether Bert liked what Anna grew there at home"
     bad = item.replace("Bert", "Carl", 1)
