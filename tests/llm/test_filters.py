@@ -79,6 +79,21 @@ def test_verbatim_copies_are_always_found(spark):
     assert {r["doc_id"] for r in decontam.clean_only(docs, bench).collect()} == {30, 31, 32}
 
 
+def test_a_changed_value_drops_its_windows_only(spark):
+    item = "On 12 of the shelves we keep old books about the sea and its many fish and on another 12 of them we keep new maps of the wide land with all rivers and hills drawn in ink by hand"
+    docs = spark.createDataFrame([(1, "w " + item.replace("another 12", "another 13")), (2, "w " + item.replace("12", "14")), (3, "w " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (200_000, 0):
+        got = {r["doc_id"]: r for r in decontam.matches(docs, bench, broadcast=most).collect()}
+        assert set(got) == {1, 2, 3}
+        assert got[1]["n_windows"] == got[1]["item_windows"] - 1 and not got[1]["same_values"]  # "w On" makes a name of "On"
+        assert got[2]["coverage"] > 0.9 and not got[2]["same_values"] and got[3]["coverage"] > 0.9 and got[3]["same_values"]
+    names = "then Anna gave seven red apples to the old farmer and so Anna asked whether he liked what Anna grew there at home"
+    docs = spark.createDataFrame([(1, "w " + names.replace("Anna", "Dora").replace("what Dora", "what Emil"))], "doc_id long, text string")
+    (r,) = decontam.matches(docs, spark.createDataFrame([(1, names)], "item_id long, text string")).collect()
+    assert 6 <= r["n_windows"] < r["item_windows"] and not r["same_values"]
+
+
 def test_slots_must_be_consistent(spark):
     item = "then Anna gave Bert seven apples and so Anna asked whether Bert liked what Anna grew there at home"
     bad = item.replace("Bert", "Carl", 1)
