@@ -59,6 +59,61 @@ def test_rules_on_a_small_text(spark):
     assert not [1 for a in texts for b in texts if a != b and a in b]
 
 
+def sequential_final(e, rtl, form):
+    """The rules left by a pass, pair by pair."""
+    valid, words = ({r["word"] for r in x.collect()} for x in (e.valid, e.words))
+    rules = [(*tuple(r), form(r["typo"], r["boundary"])) for r in e.unblocked.select(*KEY).collect()]
+    tight = {"none": 0, "left": 1, "right": 1, "both": 2}
+
+    def fires(t, w, b):
+        among = [x for x in valid | words if x != t] + [w]
+        start, end = any(x.startswith(t) and x != t for x in among), any(x.endswith(t) and x != t for x in among)
+        inside = any(t in x for x in among if x != t)
+        return {"none": inside, "left": start, "right": end, "both": False}[b]
+
+    pairs = sorted((b[3], a[3], b[1], a[1], b[2], a[2], a, b) for a in rules for b in rules if a[3] != b[3] and a[3] in b[3])
+    gone = set()
+    for *_, a, b in pairs:
+        if a in gone or b in gone:
+            continue
+        s, n = tight[a[2]], tight[b[2]]
+        short = not rtl if s == n else fires(*a[:2], a[2]) if s < n else not fires(*b[:2], b[2])
+        gone.add(a if short else b)
+    return [r[:3] for r in rules if r not in gone], len(gone)
+
+
+def test_final_queries_run_after_the_pair_removal(spark):
+    from typoforge.plans import queries as Q
+
+    e = small(spark, max_corrections=40)
+    run = lambda name: [tuple(r) for r in Q.QUERIES[name][0](e).collect()]
+    text = lambda t, b: ":" * (b in ("left", "both")) + t + ":" * (b in ("right", "both"))
+    left, gone = sequential_final(e, True, text)
+    assert gone
+    user = {r["word"] for r in e.user.collect()}
+    patterns = {(r["typo"], r["word"]) for r in e.patterns.collect()}
+    freq = {r["word"]: r["freq"] for r in e.lex.collect()}
+    replaced = [tuple(r) for r in e.replacements.select("pattern_typo", "pattern_word", "boundary", "word").collect()]
+    rank = []
+    for t, w, b in left:
+        tier = 0 if w in user else 1 if (t, w) in patterns else 2
+        rank.append((tier, -(sum(freq.get(x[3], 0) for x in replaced if x[:3] == (t, w, b)) if tier == 1 else freq.get(w, 0)), t, w, b))
+    rank.sort()
+    assert sorted(run("final_rank_tiers")) == sorted((t, w, b, tier) for tier, _, t, w, b in rank)
+    want = [(k + 1, t, w, b, tier, -s) for k, (tier, s, t, w, b) in enumerate(rank[:40])]
+    assert len(rank) > 40 and sorted(run("final_rank_qmk")) == want
+    assert sorted(run("final_rank_topk")) == [x[:4] for x in want]
+    assert sorted(run("final_out_qmk_lines")) == sorted({(w, f"{text(t, b)} -> {w}") for _, t, w, b, _, _ in want})
+    assert {(r[0], r[1]) for r in run("final_rep_qmk")} == {(k, sum(x[4] == k for x in want)) for k in {x[4] for x in want}}
+    o = Q._espanso(e)
+    left, gone = sequential_final(o, False, lambda t, b: t)
+    assert gone and sorted(run("final_rank_espanso")) == sorted(left)
+    assert sorted((r[0], r[1]) for r in run("final_out_espanso_rows")) == sorted((t, w) for t, w, _ in left)
+    count = {x: sum(w[0] == x for _, w, _ in left) for x in {w[0] for _, w, _ in left}}
+    assert dict(run("final_out_by_letter")) == count and {r[0]: r[1] for r in run("final_rep_espanso")} == count
+    assert sum(r[2] for r in run("final_out_chunking")) == len(left)
+
+
 def test_solver_converges(spark):
     r = solve(small(spark), 8)
     assert r.converged and r.rules.count() > 0 and r.graveyard.count() > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return _engines[key]
 
 
+def _espanso(e: Engine) -> Engine:
+    """The engine's tables for the other platform: its own checks, pair removal and constraints."""
+    if "_espanso" not in e.__dict__:
+        o = Engine(e.spark, e.documents, e.benchmark, replace(e.config, platform="espanso"), e.given_include, e.given_adjacency, e.rules_given)
+        o.__dict__.update({k: getattr(e, k) for k in ("lex", "valid", "words", "pairs", "flags", "collisions", "tries", "corrections")})
+        e.__dict__["_espanso"] = o
+    return e.__dict__["_espanso"]
+
+
 # Lines of the example files.
 INCLUDE = ("# user words", "Hello", "", "  world ", "hello", "back\\slash", "ok")
 EXCLUDE = ("# rules", "xx*", " teh -> the ", "", "xx*", ":An* -> *")
@@ -140,7 +151,7 @@ QUERIES: dict[str, tuple] = {
     "plat_removed": (lambda e: e.platform_removed, None),
     "pass_platform": (lambda e: e.final, None),
     "plat_constraints": (lambda e: e.violations(e.rules), f"SELECT {_K}, CASE WHEN NOT (regexp_full_match(typo, '[a-z'']*') AND regexp_full_match(word, '[a-z'']*')) THEN 'Invalid characters' WHEN length(typo) > 62 THEN 'Typo too long (>62)' WHEN length(word) > 62 THEN 'Word too long (>62)' END AS reason FROM rules"),
-    # ranking: over the rules before the platform's pair removal, which SQL can't follow
+    # ranking, sinks and their reports before the platform's pair removal, which SQL can't follow; after it: final_*
     "rank_union": (lambda e: e.corrections.unionByName(e.patterns.select(*KEY)).distinct(), f"SELECT {_K} FROM corrections UNION SELECT {_K} FROM patterns"),
     "rank_tiers": (lambda e: R.ranked_before(e).tiers, f"SELECT {_K}, tier FROM ({R.TIERS_SQL})"),
     "rank_pattern_scores": (lambda e: e.pattern_scores, "SELECT pattern_typo AS typo, pattern_word AS word, boundary, sum(coalesce(freq, 0))::BIGINT AS score FROM repl LEFT JOIN lex USING (word) GROUP BY ALL"),
@@ -163,10 +174,21 @@ QUERIES: dict[str, tuple] = {
     "rep_conflicts": (lambda e: R.conflicts(e), R.CONFLICTS_SQL),
     "rep_short": (lambda e: R.short(e), R.SHORT_SQL),
     "rep_exclusions": (lambda e: R.exclusions(e), R.EXCLUSIONS_SQL),
-    "rep_espanso": (lambda e: R.espanso(e), R.ESPANSO_SQL),
-    "rep_qmk": (lambda e: R.qmk(e), R.QMK_SQL),
+    "rep_espanso": (lambda e: R.espanso(e.unblocked), R.ESPANSO_SQL),
+    "rep_qmk": (lambda e: R.qmk(R.ranked_before(e)), R.QMK_SQL),
     "rep_history": (lambda e: R.history(e), None),
     "dbg_typo_match": (lambda e: R.debug_matches(e), R.DEBUG_SQL),
+    # what a pass puts out, after the platform's pair removal
+    "final_rank_qmk": (lambda e: e.ranked_rules.select(*_b("rnk"), *KEY, "tier", "score"), None),
+    "final_rank_topk": (lambda e: e.ranking(100).select(*_b("rnk"), *KEY), None),
+    "final_rank_tiers": (lambda e: e.tiers, None),
+    "final_rank_espanso": (lambda e: _espanso(e).final.select(*KEY), None),
+    "final_out_qmk_lines": (lambda e: S.qmk_lines(e.ranked_rules), None),
+    "final_out_espanso_rows": (lambda e: S.espanso_rows(_espanso(e).final), None),
+    "final_out_by_letter": (lambda e: S.by_letter(_espanso(e).final), None),
+    "final_out_chunking": (lambda e: S.chunks(_espanso(e).final, C.max_entries_per_file), None),
+    "final_rep_qmk": (lambda e: R.qmk(e), None),
+    "final_rep_espanso": (lambda e: R.espanso(_espanso(e).final), None),
     # the loop
     "solve": (lambda e: solve(e).rules, None),
     "solve_graveyard": (lambda e: solve(e).graveyard, None),

@@ -92,9 +92,9 @@ def exclusions(e: Engine) -> DataFrame:
 EXCLUSIONS_SQL = "SELECT typo, word, boundary FROM rejected WHERE reason = 'excluded_by_pattern' ORDER BY ALL LIMIT 100"
 
 
-def espanso(e: Engine) -> DataFrame:
+def espanso(rules: DataFrame) -> DataFrame:
     """(letter, n, files, place): place among the five largest letters, else 0."""
-    n = e.unblocked.groupBy(T.letter_of("word").alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+    n = rules.groupBy(T.letter_of("word").alias("letter")).agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.orderBy(F.desc("n"), "letter"))
     n = n.withColumn("place", place.cast("long"))
     return n.select("letter", "n", F.expr(f"(n + {C.max_entries_per_file - 1}) div {C.max_entries_per_file}").alias("files"), F.when(F.col("place") <= 5, F.col("place")).otherwise(F.lit(0)).alias("place"))
@@ -105,7 +105,7 @@ ESPANSO_SQL = f"SELECT letter, n, (n + {C.max_entries_per_file - 1}) // {C.max_e
 
 def qmk(e: Engine) -> DataFrame:
     """(tier, n, low, high) of the ranked rules."""
-    return ranked_before(e).ranking().groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    return e.ranking().groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 QMK_SQL = f"SELECT tier, count(*)::BIGINT AS n, min(score) AS low, max(score) AS high FROM (SELECT * FROM ({SCORED_SQL}) ORDER BY tier, score DESC, typo, word, boundary LIMIT {C.max_corrections}) GROUP BY tier"
@@ -138,7 +138,7 @@ DEBUG_SQL = _debug_sql()
 def write_reports(e: Engine, folder: str, platform: str) -> list[str]:
     """The run's reports as CSV files in <folder>/<platform>, through Spark's writer."""
     done = []
-    for name, f in {"summary": summary, "statistics": statistics, "graveyard": by_reason, "collisions": collisions, "patterns": patterns, "conflicts": conflicts, "short": short, "exclusions": exclusions, platform: qmk if platform == "qmk" else espanso, "history": history}.items():
+    for name, f in {"summary": summary, "statistics": statistics, "graveyard": by_reason, "collisions": collisions, "patterns": patterns, "conflicts": conflicts, "short": short, "exclusions": exclusions, platform: qmk if platform == "qmk" else lambda e: espanso(e.final), "history": history}.items():
         f(e).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{platform}/{name}")
         done.append(name)
     return done
