@@ -59,6 +59,20 @@ def test_rules_on_a_small_text(spark):
     assert not [1 for a in texts for b in texts if a != b and a in b]
 
 
+def test_long_typos_are_found_inside_longer_words(spark):
+    long = "extraordinarily"
+    docs = spark.createDataFrame([("en", " ".join([f"un{long[:-1]}", f"{long[:-1]}ness", "other"] * 6))], "lang string, text string")
+    e = Engine(spark, docs, spark.createDataFrame([(" ".join([long] * 4),)], "text string"), Config(top_n=5))
+    flags = {r["typo"]: r.asDict() for r in e.flags.where("length(typo) > 12").collect()}
+    valid, words = ({r["word"] for r in x.collect()} for x in (e.valid, e.words))
+    assert flags
+    for t, f in flags.items():
+        for tag, among in (("v", valid - {t}), ("s", words - {t})):
+            assert (f[f"{tag}_start"], f[f"{tag}_end"], f[f"{tag}_sub"]) == (any(w.startswith(t) for w in among), any(w.endswith(t) for w in among), any(t in w for w in among))
+    assert any(f["v_start"] for f in flags.values()) and any(f["v_end"] for f in flags.values())
+    assert {r["boundary"] for r in e.corrections.where(f"typo = '{long[:-1]}'").collect()} <= {"both"}
+
+
 def sequential_final(e, rtl, form):
     """The rules left by a pass, pair by pair."""
     valid, words = ({r["word"] for r in x.collect()} for x in (e.valid, e.words))

@@ -24,7 +24,7 @@ class Config:
     max_iterations: int = 20
     platform: str = "qmk"
     max_corrections: int = 500
-    #: Longest n-gram of words that a typo is looked up in: the longest typo is one letter over the longest word.
+    #: Longest n-gram of the table idx_substrings and of the oracles. Lookups have no such end: they go as far as the longest typo.
     max_ngram: int = 12
 
     def __post_init__(self):

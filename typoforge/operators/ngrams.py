@@ -14,17 +14,22 @@ def substrings(words: DataFrame, longest: int) -> DataFrame:
     return s.groupBy("gram").agg(F.max("p").alias("is_prefix"), F.max("s").alias("is_suffix"))
 
 
+def longest(texts: DataFrame, column: str) -> int:
+    """Letters of the longest text: no longer gram can be looked up."""
+    return max(texts.agg(F.max(F.length(column))).first()[0] or 1, 1)
+
+
 def affixes(words: DataFrame, side: str, proper: bool) -> DataFrame:
     """(word) -> (gram, word) for the prefixes or suffixes of each word."""
     s = words.select("word", F.explode(F.expr("sequence(1, greatest(length(word), 1))")).alias("n")).where("n < length(word)" if proper else "length(word) > 0")
     return s.select(F.expr("substring(word, 1, n)" if side == "prefix" else "substring(word, length(word) - n + 1, n)").alias("gram"), "word")
 
 
-def flags(typos: DataFrame, validation: DataFrame, source: DataFrame, longest: int) -> DataFrame:
+def flags(typos: DataFrame, validation: DataFrame, source: DataFrame) -> DataFrame:
     """(typo) -> typo, v_start, v_end, v_sub, s_start, s_end, s_sub: stands at the start, end, anywhere of another word."""
-    out = typos.select("typo").distinct()
+    out, most = typos.select("typo").distinct(), longest(typos, "typo")
     for tag, words in (("v", validation), ("s", source)):
-        g = substrings(words, longest).select(F.col("gram").alias("typo"), F.col("is_prefix").alias(f"{tag}_start"), F.col("is_suffix").alias(f"{tag}_end"), F.lit(True).alias(f"{tag}_sub"))
+        g = substrings(words, most).select(F.col("gram").alias("typo"), F.col("is_prefix").alias(f"{tag}_start"), F.col("is_suffix").alias(f"{tag}_end"), F.lit(True).alias(f"{tag}_sub"))
         out = out.join(g, "typo", "left")
     return out.select("typo", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("v_start", "v_end", "v_sub", "s_start", "s_end", "s_sub")])
 

@@ -121,7 +121,7 @@ class Engine:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return cut(N.flags(self.pairs, self.valid, self.words.select("word"), self.config.max_ngram))
+        return cut(N.flags(self.pairs, self.valid, self.words.select("word")))
 
     @cached_property
     def natural(self) -> DataFrame:
@@ -222,7 +222,7 @@ class Engine:
     def pattern_flags(self) -> DataFrame:
         """(tp, v_word, v_start, v_end, v_sub, rtl, ltr): of pattern texts among validation words; at ends of source words."""
         p = self.occurrences.select("tp").distinct()
-        g = N.substrings(self.valid, self.config.max_ngram).select(F.col("gram").alias("tp"), F.col("is_prefix").alias("v_start"), F.col("is_suffix").alias("v_end"), F.lit(True).alias("v_sub"))
+        g = N.substrings(self.valid, N.longest(p, "tp")).select(F.col("gram").alias("tp"), F.col("is_prefix").alias("v_start"), F.col("is_suffix").alias("v_end"), F.lit(True).alias("v_sub"))
         p = p.join(g, "tp", "left").join(self.valid.select(F.col("word").alias("tp"), F.lit(True).alias("v_word")), "tp", "left")
         for name, side in (("rtl", "prefix"), ("ltr", "suffix")):
             a = N.affixes(self.words.select("word"), side, False).select(F.col("gram").alias("tp")).distinct().withColumn(name, F.lit(True))
@@ -335,7 +335,7 @@ class Engine:
         p = self.platform_pairs.withColumn("s", F.expr(tight("short.boundary"))).withColumn("l", F.expr(tight("long.boundary")))
         p = p.withColumn("loose", F.expr("IF(s < l, short, long)"))
         names = p.select(F.col("loose.typo").alias("typo")).distinct()
-        f = N.flags(names, self.valid, self.words.select("word"), self.config.max_ngram)
+        f = N.flags(names, self.valid, self.words.select("word"))
         p = p.withColumn("typo", F.col("loose.typo")).join(f, "typo").withColumn("t", T.target_relation("typo", "loose.word"))
         fires = N.false_trigger("loose.boundary")
         keeps_short = platform(self.config.platform).direction == "rtl"
