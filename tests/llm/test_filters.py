@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tests.llm.cases import documents, empty
 from typoforge.llm import chat, decontam, quality, toxicity, urlfilter, warc
 
@@ -131,7 +133,23 @@ def brute_kernel(s, t):
 def test_kernel_is_the_subsequence_kernel():
     a, b = b"stuupid", b"stupid"
     v = toxicity.vectors([a, b])
-    assert abs((v.T @ v)[0, 1] - brute_kernel(a, b) / (brute_kernel(a, a) * brute_kernel(b, b)) ** 0.5) < 1e-12
+    assert abs((v.T @ v)[0, 1] - brute_kernel(a, b) / (brute_kernel(a, a) * brute_kernel(b, b)) ** (toxicity.SCALE / 2)) < 1e-6
+
+
+def test_folded_weights_are_the_nystroem_map():
+    rng = np.random.default_rng(3)
+    marks = [b"`abcde`", b"`fghij`", b"`klmno`"]
+    phi = toxicity.vectors(marks)
+    values, axes = np.linalg.eigh(phi.T @ phi)
+    root = axes / np.sqrt(values)
+    x = [b"`abxcde`", b"`zfgij`", b"`qqq`"]
+    w = rng.normal(size=3)
+    kernel = toxicity.vectors(x).T @ phi
+    assert np.allclose(kernel @ root @ w, toxicity.weigh(x, phi @ (root @ w)))
+
+
+ALIKE = ("student", "stump", "molar", "trace", "crash", "ideal", "scam", "idol", "more")
+INSULTS = ("moron", "stupid", "scum", "idiot", "trash")
 
 
 def _toxic(n, seed):
@@ -140,7 +158,9 @@ def _toxic(n, seed):
     for i in range(n):
         w = ["".join(rng.choice(["en", "er", "th", "ou", "la", "ti"]) for _ in range(rng.randint(1, 3))) for _ in range(30)]
         if i % 3 == 0:
-            w[rng.randrange(30)] = rng.choice(["moron", "stupid", "scum", "idiot", "trash"])
+            w[rng.randrange(30)] = rng.choice(INSULTS)
+        elif i % 5 == 0:
+            w[rng.randrange(30)] = rng.choice(ALIKE)
         out.append((i, " ".join(w), int(i % 3 == 0)))
     return out
 
@@ -156,8 +176,30 @@ def test_toxicity_held_out_and_gaps(spark):
     y = {i: t for i, _, t in rows}
     held = [r for r in got if r["held_out"] and r["doc_id"] in y]
     assert len(held) > 60 and sum(r["predicted"] == y[r["doc_id"]] for r in held) / len(held) > 0.98
-    score = lambda t: float(model.scores([toxicity.pieces(toxicity.words(t))])[0])
-    assert score("you st.u.p.i.d one") > 0.5 and score("s t u p i d") > 0.5 and score("stuupid") > 0.5 and score("the other theory") < 0.5
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def grown(w, n):
+        for _ in range(n):
+            i = rng.randrange(1, len(w))
+            w = w[:i] + rng.choice(letters) + w[i:]
+        return w
+
+    def cut(w, by):
+        i = rng.randrange(1, len(w))
+        return w[:i] + by + w[i:]
+
+    kinds = [lambda w: w, str.upper, lambda w: grown(w, 1), lambda w: grown(w, 2), lambda w: grown(w, 3), lambda w: cut(w, " "), lambda w: cut(w, "-"), "  ".join, ".".join, lambda w: w.replace("o", "0"), lambda w: w[:2] + w[3:]]
+    clean = [t for _, t, y in rows if not y and not any(x in t for x in INSULTS)]
+    for k, kind in enumerate(kinds):
+        texts = []
+        for i in range(100):
+            w = rng.choice(clean).split()[:12]
+            w.insert(rng.randrange(13), kind(INSULTS[i % len(INSULTS)]))
+            texts.append(" ".join(w))
+        assert (model.scores(texts) >= 0.5).mean() >= 0.9, k
+    assert (model.scores(clean) >= 0.5).mean() < 0.02
+    assert (model.scores(["the other theory", *ALIKE, "students", "scheme", "moral", "thorough"]) < 0.5).all()
     clean = toxicity.clean_only(docs, labels)
     assert clean.columns == docs.columns and clean.where("text is null").count() == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
