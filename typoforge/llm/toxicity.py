@@ -9,7 +9,7 @@ Kernel: common subsequences of three symbols, each weighed by ``DECAY`` to the l
 inserted, split off and dropped letters cost a factor each and do not break a match; windows are scaled by their norm to
 the power ``SCALE`` only, so that letters set in do not drown the others.
 
-Fit, on the driver, from a bounded sample of labelled texts of either class:
+Fit, in one task, from a bounded sample of labelled texts of either class:
 
 1. landmark words of the toxic class: letter runs, word ends included, that are far more common in toxic texts;
    landmarks of the clean class: the windows of clean texts that are closest to them, and some others;
@@ -30,6 +30,7 @@ and lend their text once; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -124,30 +125,52 @@ def by_length(items: list[bytes]) -> dict[int, np.ndarray]:
 
 
 def weigh(items: list[bytes], table: np.ndarray, block: int = 8_000) -> np.ndarray:
-    """For each window the sum of its scaled subsequence counts times ``table`` (subsequences, or subsequences x k)."""
-    out = np.zeros((len(items), *table.shape[1:]))
+    """For each window the sum of its scaled subsequence counts times ``table``, a number for each subsequence."""
+    out = np.zeros(len(items))
     for ids in by_length(items).values():
         for at in range(0, len(ids), block):
             part = ids[at : at + block]
             number, weight, norm = counts([items[i] for i in part])
-            if table.ndim == 1:
-                out[part] = (table[number] @ weight) / norm
-            else:
-                acc = np.zeros((len(part), table.shape[1]))
-                for k in range(len(weight)):
-                    acc += table[number[:, k]] * weight[k]
-                out[part] = acc / norm[:, None]
+            out[part] = (table[number] @ weight) / norm
     return out
 
 
-def vectors(items: list[bytes]) -> np.ndarray:
-    """Scaled subsequence counts of a few windows, dense: (subsequences, windows)."""
-    out = np.zeros((ALPHABET**3, len(items)))
-    for ids in by_length(items).values():
-        number, weight, norm = counts([items[i] for i in ids])
-        for row, i in enumerate(ids):
-            np.add.at(out[:, i], number[row], weight / norm[row])
-    return out
+class Basis:
+    """Scaled subsequence counts of landmarks, only for subsequences that some landmark has: ``phi`` (subsequences, landmarks)."""
+
+    def __init__(self, landmarks: list[bytes]):
+        got = [(ids, *counts([landmarks[i] for i in ids])) for ids in by_length(landmarks).values()]
+        used = np.unique(np.concatenate([number.ravel() for _, number, _, _ in got]))
+        self.used, self.row = used, np.full(ALPHABET**3, len(used), np.int32)
+        self.row[used] = np.arange(len(used))
+        self.phi = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+        for ids, number, weight, norm in got:
+            np.add.at(self.phi, (self.row[number], ids[:, None]), (weight / norm[:, None]).astype(np.float32))
+
+    def gram(self) -> np.ndarray:
+        return (self.phi.T @ self.phi).astype(np.float64)
+
+    def kernel(self, items: list[bytes], block: int = 4_000) -> np.ndarray:
+        """(windows, landmarks)"""
+        out = np.zeros((len(items), self.phi.shape[1]), np.float32)
+        for ids in by_length(items).values():
+            for at in range(0, len(ids), block):
+                part = ids[at : at + block]
+                number, weight, norm = counts([items[i] for i in part])
+                acc = np.zeros((len(part), out.shape[1]), np.float32)
+                for k in range(len(weight)):
+                    acc += self.phi[self.row[number[:, k]]] * np.float32(weight[k])
+                out[part] = acc / norm[:, None].astype(np.float32)
+        return out
+
+    def nearest(self, items: list[bytes], block: int = 20_000) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.kernel(items[at : at + block]).max(axis=1) for at in range(0, len(items), block))])
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of landmarks as weights of all subsequences."""
+        out = np.zeros(ALPHABET**3)
+        out[self.used] = self.phi[:-1] @ weights
+        return out
 
 
 RUNS = range(4, 9)
@@ -157,18 +180,17 @@ EVIDENCE, LIFT = 30.0, 4.0
 OFTEN = 3
 
 
-def runs(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The letter runs of words with their ends: (number of the word, run as a number with its length on top)."""
-    who, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def runs(items: list[bytes], chunk: int = 20_000):
+    """The letter runs of words with their ends, in chunks: (number of the word, run as a number with its length on top)."""
     length = np.fromiter(map(len, items), np.int64, len(items)) + 2
     for n in np.unique(length[length >= RUNS[0]]).tolist():
-        ids = np.flatnonzero(length == n)
-        c = np.frombuffer(b"".join([EDGE + items[i] + EDGE for i in ids]), np.uint8).reshape(-1, n).astype(np.int64) - EDGE[0]
-        for k in RUNS:
-            for at in range(n - k + 1):
-                who.append(ids)
-                code.append(c[:, at : at + k] @ (ALPHABET ** np.arange(k - 1, -1, -1)) + k * ALPHABET ** RUNS[-1])
-    return np.concatenate(who), np.concatenate(code)
+        mine = np.flatnonzero(length == n)
+        for lo in range(0, len(mine), chunk):
+            ids = mine[lo : lo + chunk]
+            c = np.frombuffer(b"".join([EDGE + items[i] + EDGE for i in ids]), np.uint8).reshape(-1, n).astype(np.int64) - EDGE[0]
+            for k in RUNS:
+                for at in range(n - k + 1):
+                    yield ids, c[:, at : at + k] @ (ALPHABET ** np.arange(k - 1, -1, -1)) + k * ALPHABET ** RUNS[-1]
 
 
 def _letters(code: int) -> bytes:
@@ -222,19 +244,27 @@ def landmark_words(toxic: list[set[bytes]], clean: list[set[bytes]], innocent: s
             where.setdefault(w, []).append(i)
     items = sorted(w for w in where if len(w) <= 32)
     df = np.array([len(where[w]) for w in items], float)
-    who, code = runs(items)
-    known, back = np.unique(code, return_inverse=True)
-    enough = np.bincount(back, weights=df[who], minlength=len(known)) >= 4
-    who, code = who[enough[back]], code[enough[back]]
+    # a run in fewer texts can't reach EVIDENCE: first counted by a hash, which counts too many only
+    least = EVIDENCE / (2 * np.log((len(toxic) + len(clean)) / len(toxic)))
+    tally, slot = np.zeros(1 << 22, np.float32), lambda code: (code * np.int64(-7046029254386353131) >> 20) & ((1 << 22) - 1)
+    for ids, code in runs(items):
+        np.add.at(tally, slot(code), df[ids].astype(np.float32))
+    who, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for ids, x in runs(items):
+        keep = tally[slot(x)] >= least
+        who.append(ids[keep]), code.append(x[keep])
+    who, code = np.concatenate(who), np.concatenate(code)
     known, back = np.unique(code, return_inverse=True)
     if not len(known):
         return []
     also = Counter(w for b in clean for w in b - innocent)
     others = sorted(w for w in also if len(w) <= 32)
-    whose, codes = runs(others)
-    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    hit = known[at] == codes
-    seen = np.minimum(np.bincount(at[hit], weights=np.array([also[w] for w in others], float)[whose[hit]], minlength=len(known)), len(clean))
+    weight, seen = np.array([also[w] for w in others], float), np.zeros(len(known))
+    for ids, x in runs(others):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        hit = known[at] == x
+        seen += np.bincount(at[hit], weights=weight[ids[hit]], minlength=len(known))
+    seen = np.minimum(seen, len(clean))
     alive, size, out = np.ones(len(items), bool), 1 + known // ALPHABET ** RUNS[-1] / 20, []
     open_ = np.ones(len(known), bool)
     while True:
@@ -307,8 +337,8 @@ class Model:
         if len(self.known) > 400_000:
             self.known.clear()
         if new := list(set().union(*bags) - self.known.keys()):
-            for at in range(0, len(new), 50_000):
-                self.learn(new[at : at + 50_000])
+            for at in range(0, len(new), 10_000):
+                self.learn(new[at : at + 10_000])
         return np.array([max(map(self.known.__getitem__, b), default=self.bias) for b in bags], float)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -317,20 +347,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins([self.bag(t) for t in texts]) + self.shift, -60, 60)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1000.0, steps: int = 60) -> np.ndarray:
+def _svm(blocks: list[np.ndarray], y: np.ndarray, weight: np.ndarray, c: float = 1000.0, steps: int = 60, chunk: int = 4_000) -> np.ndarray:
     """Squared hinge loss with an L2 norm, by Newton steps on the active rows. The last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    reg = np.eye(x.shape[1])
-    reg[-1, -1] = 1e-6
-    last = None
+    ends = np.cumsum([0, *map(len, blocks)])
+    parts = [(b[i : i + chunk], slice(at + i, at + min(i + chunk, len(b)))) for b, at in zip(blocks, ends[:-1].tolist(), strict=True) for i in range(0, len(b), chunk)]
+    n = blocks[0].shape[1] + 1
+    w, last = np.zeros(n), None
+    reg = np.diag(np.append(np.ones(n - 1), 1e-6))
     for _ in range(steps):
-        active = y * (x @ w) < 1
+        active = np.concatenate([y[at] * (x @ w[:-1].astype(np.float32) + w[-1]) < 1 for x, at in parts])
         if last is not None and np.array_equal(active, last):
             break
         last = active
-        a = x[active] * (weight[active, None] * c)
-        w = np.linalg.solve(reg + a.T @ x[active], a.T @ y[active])
+        left, right = reg.copy(), np.zeros(n)
+        for x, at in parts:
+            on = active[at]
+            a = np.hstack([x[on], np.ones((int(on.sum()), 1), np.float32)]).astype(np.float64)
+            heavy = a * (weight[at][on, None] * c)
+            left += heavy.T @ a
+            right += heavy.T @ y[at][on]
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -359,28 +395,28 @@ def fit(t: list[set[bytes]], c: list[set[bytes]], share: float | None = None) ->
     if not marks:
         return Model(None, 0.0, 1.0, 0.0, share if share is not None else len(t) / (len(t) + len(c)))
     rng = np.random.default_rng(2)
-    phi_marks = vectors(marks)
-    close = phi_marks / (phi_marks**2).sum(axis=0)  # 1 for the mark itself
+    own = Basis(marks)
+    own.phi /= (own.phi**2).sum(axis=0)  # 1 for the mark itself
     texts_with = Counter()
     for w, n in often.items():
         if w not in raised:
             for p in set(pieces(w)):
                 texts_with[p] += n
     plain = sorted(texts_with)
-    near_plain = weigh(plain, close).max(axis=1)
+    near_plain = own.nearest(plain)
     hard = [plain[i] for i in np.argsort(-near_plain, kind="stable")[: 40 * len(marks) + 2_000]]
     some = [plain[i] for i in rng.permutation(len(plain))[:4_000]]
     least = max(LEAST_LANDMARKS, CLEAN_LANDMARKS * len(marks))
     landmarks = [*marks, *hard[:least], *some[: least // 4]]
-    phi = vectors(landmarks)
-    values, axes = np.linalg.eigh(phi.T @ phi)
-    keep = values > 1e-6 * values[-1]
+    basis = Basis(landmarks)
+    values, axes = np.linalg.eigh(basis.gram())
+    keep = values > 1e-5 * values[-1]
     root = axes[:, keep] / np.sqrt(values[keep])
-    fold_in = phi @ root
+    nystroem = lambda items: basis.kernel(items) @ root.astype(np.float32)
     mine = sorted({w for b in t for w in b if w not in innocent and (w in raised or w not in often)})
     cut = [pieces(w) for w in mine]
     all_cut = sorted({p for x in cut for p in x})
-    near = dict(zip(all_cut, weigh(all_cut, close).max(axis=1).tolist(), strict=True))
+    near = dict(zip(all_cut, own.nearest(all_cut).tolist(), strict=True))
     best = Counter()
     for x, w in zip(cut, mine, strict=True):
         p = max(x, key=near.__getitem__)
@@ -397,14 +433,14 @@ def fit(t: list[set[bytes]], c: list[set[bytes]], share: float | None = None) ->
     bent = sorted(bend)
     missed = sorted({p for w in models for v in near_misses(w, rng) for p in pieces(v)} - best.keys() - bend.keys())
     other = list(dict.fromkeys(hard + some))
-    px, bx, qx = (weigh(x, fold_in) for x in (positive, bent, missed))
+    px, bx, qx = (nystroem(x) for x in (positive, bent, missed))
     for _ in range(4):
-        ox = weigh(other, fold_in)
+        ox = nystroem(other)
         sizes = [len(positive), len(bent), len(missed), len(other), 1]
         weight = np.concatenate([[POSITIVE * best[p] / len(t) for p in positive], [BENT * bend[p] / (6 * len(models)) for p in bent], np.full(len(missed), MISSED / max(1, len(missed))), [CLEAN * texts_with[p] / len(c) for p in other], [50.0]])
         # a window unlike all landmarks is clean: no features, a heavy weight
-        w = _svm(np.vstack([px, bx, qx, ox, np.zeros((1, root.shape[1]))]), np.repeat([1.0, 1.0, -1.0, -1.0, -1.0], sizes), weight)
-        model = Model(fold_in @ w[:-1], float(w[-1]), 1.0, 0.0, marks=tuple(models))
+        w = _svm([px, bx, qx, ox, np.zeros((1, root.shape[1]), np.float32)], np.repeat([1.0, 1.0, -1.0, -1.0, -1.0], sizes), weight)
+        model = Model(basis.table(root @ w[:-1]), float(w[-1]), 1.0, 0.0, marks=tuple(models))
         wrong = np.flatnonzero(weigh(plain, model.table) + model.bias > -0.7)
         new = [plain[i] for i in wrong.tolist()]
         if not set(new) - set(other):
@@ -437,8 +473,18 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
     # ids and labels of the sample only are broadcast; of repeated rows of a document one text goes on
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
-    bags = sorted({(r["y"], bytes(r["bag"])) for r in texts.mapInArrow(run, "y int, bag binary").collect()})
-    return fit([set(b.split()) for y, b in bags if y], [set(b.split()) for y, b in bags if not y], n.get(1, 0) / sum(n.values()))
+    share = n.get(1, 0) / sum(n.values())
+
+    def run_fit(batches):
+        import pyarrow as pa
+
+        bags = sorted({(y.as_py(), bag.as_py()) for b in batches for y, bag in zip(*b.columns, strict=True)})
+        model = fit([set(b.split()) for y, b in bags if y], [set(b.split()) for y, b in bags if not y], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so it fits one task; the driver gets the folded weights only
+    got = texts.mapInArrow(run, "y int, bag binary").repartition(1).mapInArrow(run_fit, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> DataFrame:
