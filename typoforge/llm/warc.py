@@ -5,10 +5,16 @@ A response is rendered as an HTTP message in a ``response`` record. The ``metada
 WARC-Refers-To and carry its target, date and source headers; every record has a block digest, the response a payload
 digest, which the derivatives repeat as the digest of their source.
 
-Ids are version-5 style UUIDs of page id and url, so reruns and retries give the same bytes; the date is a parameter.
+A page is read by one forward scan, in time proportional to its length whatever it holds: text up to the next "<", then a
+comment, an element whose content is not shown, or a tag. As browsers do, a comment, script or style that is not closed
+hides the rest of the page; other hidden elements that are not closed are read like any tag.
 
-Cases: a null url gives no WARC-Target-URI, null html an empty payload; a null page_id is named as empty; repeated rows
-give the same ids; an empty table gives no records; other columns are ignored. A page is handled alone.
+Ids are version-5 style UUIDs of page id, url and payload digest, so reruns and retries give the same bytes, and pages
+that differ in any of them differ in their ids; the date is a parameter.
+
+Cases: a null url gives no WARC-Target-URI, null html an empty payload; nulls and empty values are told apart in ids; repeated
+rows give the same ids, as they are the same capture; an empty table gives no records; other columns are ignored. A page is
+handled alone, and records go on in batches of ``BATCH`` bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import json
 import re
 import uuid
 
@@ -23,24 +30,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
+BATCH = 8 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_BLOCK = re.compile(r"(?i)<(?:/?(?:p|div|section|article|header|footer|nav|ul|ol|li|table|tr|h[1-6]|blockquote|pre|main|aside|form|figure|dl|dt|dd)|br|hr)\b[^>]*>")
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_HREF = re.compile(r"""(?i)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Elements whose content is not shown; of the first two it is not even markup.
+_RAW, _HIDDEN = ("script", "style"), ("script", "style", "template", "noscript", "head")
+_BLOCK = frozenset("p div section article header footer nav ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre main aside form figure dl dt dd br hr".split())
+_ASCII = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+_NAME = re.compile(r"/?([a-z][a-z0-9]*+)")
+_HREF = re.compile(r"""\shref\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""")
 _SPACES = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
 
 
-def digest(block: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+class _Finder:
+    """Finds strings in a text from growing places on; a string that is not found once is not sought again."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, {}
+
+    def __call__(self, what: str, start: int) -> int:
+        got = self.at.get(what, -2)
+        if got != -1 and got < start:
+            got = self.at[what] = self.text.find(what, start)
+        return got
+
+
+def scan(page: str) -> tuple[str, str | None, list[str]]:
+    """A page -> plain text, title, link targets."""
+    low = page.translate(_ASCII)  # of the same length
+    find, after, n = _Finder(low), _Finder(low), len(page)
+    out, links, title, at, hidden_to = [], [], None, 0, 0
+    while at < n:
+        lt = find("<", at)
+        if lt < 0:
+            lt = n
+        if at < lt and at >= hidden_to:
+            out.append(html.unescape(page[at:lt]))
+        if lt == n:
+            break
+        if low.startswith("<!--", lt):
+            end = find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            if lt >= hidden_to:
+                out.append(" ")
+            continue
+        c = low[lt + 1 : lt + 2]
+        end = find(">", lt) if c and (c in "/!?" or "a" <= c <= "z") else -1
+        if end < 0:  # a sign, no tag
+            if lt >= hidden_to:
+                out.append("<")
+            at = lt + 1
+            continue
+        at = end + 1
+        m = _NAME.match(low, lt + 1, end)
+        name, closing = (m[1], c == "/") if m else ("", False)
+        if name == "a" and not closing and (h := _HREF.search(low, lt, end)):
+            k = h.lastindex
+            links.append(html.unescape(page[h.start(k) : h.end(k)]))
+        if name == "title" and not closing and title is None:
+            close = find("</title", at)
+            if close >= 0:
+                title = " ".join(html.unescape(page[at:close]).split())
+                if lt < hidden_to:  # as in a head: not shown anyway
+                    at = close
+        if lt < hidden_to:
+            continue
+        if name in _HIDDEN and not closing:
+            close = find("</" + name, at)
+            if close >= 0:
+                close = after(">", close)
+            out.append(" ")
+            if name in _RAW:
+                at = n if close < 0 else close + 1
+            elif close >= 0:
+                hidden_to = close + 1  # its links and title still count
+        elif name in _BLOCK:
+            out.append("\n")
+    lines = (x.strip() for x in _SPACES.sub(" ", "".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x), title, links
 
 
 def plain_text(page: str) -> str:
-    t = _HIDDEN.sub(" ", page)
-    t = _TAG.sub("", _BLOCK.sub("\n", t))
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(t))).strip()
+    return scan(page)[0]
+
+
+def digest(block: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
 def record(kind: str, rid: str, headers: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
@@ -69,20 +143,20 @@ def _uri(url: str) -> str:
 
 def derive(page_id, url, page, date: str = DATE) -> list[tuple]:
     """A page's three records: (type, id, refers to, payload digest, block digest, block, raw)."""
-    name = lambda kind: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind}|{"" if page_id is None else page_id}|{url or ''}')}>"
     body = (page or "").encode("utf-8", "surrogatepass")
+    payload = digest(body)
+    name = lambda kind: f"<urn:uuid:{uuid.uuid5(_SPACE, json.dumps([kind, page_id, url, payload]))}>"
     source = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
     http = b"HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in source).encode() + b"\r\n" + body
     target = [("WARC-Target-URI", _uri(url))] if url is not None else []
-    rid, payload = name("response"), digest(body)
+    rid = name("response")
     shared = [*target, ("WARC-Date", date)]
-    links = [html.unescape(a or b or c) for a, b, c in _HREF.findall(page or "")]
-    title = _TITLE.search(page or "")
+    shown, title, links = scan(page or "")
     fields = [("source-status", "200"), *((f"source-{k.lower()}", v) for k, v in source), ("source-payload-digest", payload)]
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
+    fields += [("title", title)] if title is not None else []
     fields += [("outlink", " ".join(x.split())) for x in links]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
-    text = plain_text(page or "").encode("utf-8", "surrogatepass")
+    text = shown.encode("utf-8", "surrogatepass")
     back = [*shared, ("WARC-Refers-To", rid), *([("WARC-Refers-To-Target-URI", _uri(url))] if url is not None else []), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Source-Content-Type", source[0][1])]
     out = []
     for kind, headers, ctype, block, ref in (
@@ -102,12 +176,21 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
         import pyarrow as pa
 
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("block_digest", pa.string()), ("content_length", pa.int64()), ("block", pa.binary()), ("raw", pa.binary())])
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = []
-                for i, u, h in zip(*[c.to_pylist() for c in b.slice(at, 256).columns], strict=True):
-                    rows += [(i, kind, rid, ref, u, pd, bd, len(block), block, raw) for kind, rid, ref, pd, bd, block, raw in derive(i, u, h, date)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows, held = [], 0
+            for i, u, h in zip(*b.columns, strict=True):
+                i, u = i.as_py(), u.as_py()
+                for kind, rid, ref, pd, bd, block, raw in derive(i, u, h.as_py(), date):
+                    rows.append((i, kind, rid, ref, u, pd, bd, len(block), block, raw))
+                    held += len(block) + len(raw)
+                if held > BATCH:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, content_length long, block binary, raw binary")
 
