@@ -53,6 +53,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_with_long_roles_texts_and_many_turns(spark):
+    many = [(1, i, "assistant" if i % 2 else "user", f"t{i} ### x") for i in range(20_000)]
+    long = [(2, 0, "r" * 200_000, "x"), (2, 1, ":" * 100_000, "y"), (2, 2, "\\" * 100_000, "\\:" * 100_000), (2, 3, "assistant", "</turn>\n### a: " * 30_000)]
+    df = spark.createDataFrame(many + long, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chat(df).withColumn("back", chat.parse(chat.F.col("formatted"))).collect():
+        want = [(x[2], x[3]) for x in (many if r["conv_id"] == 1 else long)]
+        assert [(x["role"], x["text"]) for x in r["back"]] == want
+        f = r["formatted"]
+        assert [re.sub(r"(?s)\\(.)", r"\1", f[s["start"] : s["start"] + s["length"]]) for s in r["loss_spans"]] == [t for who, t in want if who == "assistant"]
+
+
 def test_decontamination(spark):
     item = "In the summer of 1994 Maria walked 12 km from the old mill to the river bank and rested there with Paul for two hours"
     other = "the quick brown foxes never jumped over those seven lazy dogs because rain fell down hard"
@@ -124,6 +135,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 
+def test_warc_scan_is_linear_and_hides_scripts(spark):
+    import time
+
+    for bad in ("<script>", "<!-- ", "<head>", "<title>", "<a href='", "<a ", "<", "<style ", "<noscript>x", "<p", "<title>x</titl", "&", "</"):
+        began = time.time()
+        warc.derive(1, "u", bad * 200_000)
+        assert time.time() - began < 5, bad
+    assert warc.plain_text("a<script>var x=1;") == "a" and warc.plain_text("a<style>b{}</style >c") == "a c"
+    assert warc.plain_text("x < y <b>bold</b> 1<2 <!-- <p> --> &lt;ok&gt;") == "x < y bold 1<2 <ok>"
+    assert warc.scan("<HEAD><TITLE> a\n&amp; b </TITLE><base></HEAD><P>İt<A class=x HREF = 'Q?a&amp;b'>l</A><a href=z>m</a>")[:] == ("İtlm", "a & b", ["Q?a&b", "z"])
+    assert warc.scan("<head><p>in head") == ("in head", None, []) and warc.scan("") == ("", None, [])
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>b"), (1, "", "<p>a"), (1, None, "<p>a"), (None, "u", "<p>a"), (1, "u", ""), (1, "u", None)], "page_id long, url string, html string")
+    rows = warc.derivatives(pages).collect()
+    ids = {(r["page_id"], r["target_uri"], r["payload_digest"] if r["record_type"] == "response" else r["refers_to"], r["record_type"]): r["record_id"] for r in rows}
+    assert len(set(ids.values())) == 18  # null and empty html are one payload
+
+
 def brute_kernel(s, t):
     from itertools import combinations
 
@@ -132,20 +160,21 @@ def brute_kernel(s, t):
 
 def test_kernel_is_the_subsequence_kernel():
     a, b = b"stuupid", b"stupid"
-    v = toxicity.vectors([a, b])
-    assert abs((v.T @ v)[0, 1] - brute_kernel(a, b) / (brute_kernel(a, a) * brute_kernel(b, b)) ** (toxicity.SCALE / 2)) < 1e-6
+    assert abs(toxicity.Basis([a, b]).gram()[0, 1] - brute_kernel(a, b) / (brute_kernel(a, a) * brute_kernel(b, b)) ** (toxicity.SCALE / 2)) < 1e-6
 
 
 def test_folded_weights_are_the_nystroem_map():
     rng = np.random.default_rng(3)
-    marks = [b"`abcde`", b"`fghij`", b"`klmno`"]
-    phi = toxicity.vectors(marks)
-    values, axes = np.linalg.eigh(phi.T @ phi)
+    marks = [b"`abcde`", b"`fghij`", b"`klmno`", b"`aabaa`"]
+    basis = toxicity.Basis(marks)
+    values, axes = np.linalg.eigh(basis.gram())
     root = axes / np.sqrt(values)
-    x = [b"`abxcde`", b"`zfgij`", b"`qqq`"]
-    w = rng.normal(size=3)
-    kernel = toxicity.vectors(x).T @ phi
-    assert np.allclose(kernel @ root @ w, toxicity.weigh(x, phi @ (root @ w)))
+    x = [b"`abxcde`", b"`zfgij`", b"`qqq`", b"`a`", b"`abaab`"]
+    w = rng.normal(size=4)
+    scaled = lambda u, v: brute_kernel(u, v) / (brute_kernel(u, u) * brute_kernel(v, v)) ** (toxicity.SCALE / 2)
+    kernel = np.array([[scaled(u, v) for v in marks] for u in x])
+    assert np.allclose(basis.kernel(x), kernel, atol=1e-5)
+    assert np.allclose(kernel @ root @ w, toxicity.weigh(x, basis.table(root @ w)), atol=1e-4)
 
 
 ALIKE = ("student", "stump", "molar", "trace", "crash", "ideal", "scam", "idol", "more")
