@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from tests.llm.cases import documents, empty
-from typoforge.llm import esort, simhash, substring
+from typoforge.llm import esort, simhash, simhash_docs, substring
 
 
 def brute_fp(text, n=3):
@@ -39,8 +39,6 @@ def test_fingerprints_and_components(spark):
     assert {r["doc_id"]: r["fp"] % (1 << 64) for r in got if r["doc_id"] is not None} == want
     pairs = [(a, b) for a in want for b in want if a < b and (want[a] ^ want[b]).bit_count() <= 3]
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == brute_components(want, pairs)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and kept.where("doc_id is not null").count() == len(set(brute_components(want, pairs).values()))
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -59,6 +57,40 @@ def test_trie_and_hot_buckets(spark):
         assert {i: roots.get(i, i) for i in want} == want
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(1, 0), (None, 7), (2, 63), (None, 1 << 60), (3, (1 << 40) - 1), (9, 0), (9, 0), (None, 0)]
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows += [(None if rng.random() < 0.5 else 100 + k, base[k % 6] ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4)))) for k in range(150)]
+    rows += [(1000 + k, base[0]) for k in range(300)]  # a hot fingerprint
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long").repartition(5)).collect()
+    nodes = sorted({f for _, f in rows})
+    label = brute_components(nodes, [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 3])
+    first = {}
+    for i, f in rows:
+        if i is not None:
+            first[label[f]] = min(i, first.get(label[f], i))
+    assert sorted(map(str, got)) == sorted(str(got[0].__class__(doc_id=i, fp=f, component_id=first.get(label[f]))) for i, f in rows)
+    assert {r["component_id"] for r in got if r["fp"] in (0, 7, 63)} == {1}
+
+
+def test_trie_join_is_complete_at_any_budget():
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    fps = np.array(sorted(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 30))) for b in base for _ in range(12)) + [5, 5, 5], np.uint64)
+    group = np.sort(np.array([rng.randrange(3) for _ in fps]))
+    order = np.lexsort((fps, group))
+    group, fps = group[order], fps[order]
+    label = np.array([rng.randrange(4) for _ in fps])
+    for budget in (0, 3, 17, 28):
+        for labels in (None, label, np.zeros(len(fps), int)):
+            for frontier in (7, 1 << 20):
+                got = [(a, b) for x, y in simhash.trie_join(group, fps, budget, frontier, labels) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+                want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if group[a] == group[b] and (int(fps[a]) ^ int(fps[b])).bit_count() <= budget and (labels is None or labels[a] != labels[b])}
+                assert len(got) == len(want) and {(min(p), max(p)) for p in got} == want
+
+
 def brute_removed(rows):
     seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None}, key=lambda r: r[0]):
@@ -119,7 +151,7 @@ def test_queue_keeps_order_on_disk():
     q.close()
 
 
-def test_pipeline_links_all_pairs_by_jaccard(spark):
+def test_pipeline_links_all_pairs_by_jaccard(spark, monkeypatch):
     import corpus_pipeline
     from tests.llm.cases import words
 
@@ -146,6 +178,8 @@ def test_pipeline_links_all_pairs_by_jaccard(spark):
     pairs = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b])]
     far = [(a, b) for a, b in pairs if (brute_fp(dict(more).get(a, "")) ^ brute_fp(dict(more).get(b, ""))).bit_count() > 3]
     assert len(far) > 50
+    whole = simhash_docs.open_pairs
+    monkeypatch.setattr(simhash_docs, "open_pairs", lambda *a: whole(*a, bucket=4))  # every bucket in parts
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r[0] for r in got.where("doc_id is not null").collect()) == sorted(set(brute_components(sets, pairs).values()))

@@ -15,6 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="typoforge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -38,6 +41,22 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A join has so many hot keys at most, and a key so many rows at least before it is hot.
+HOT_KEYS, HOT_ROWS = 20_000, 64
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and its number of rows as ``n`` (dropped).
+
+    Keys with over 1 / HOT_KEYS of the ``total`` rows, so at most HOT_KEYS of them, are broadcast, and their rows stay
+    where they are; only the others are shuffled.
+    """
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    few = table.where(hot).drop(n)
+    heavy = rows.join(F.broadcast(few), key)
+    return heavy.unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot).drop(n), key).select(heavy.columns))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -8,11 +8,15 @@ bits agree on at least one of ``budget + 1`` blocks, so each goes to one bucket
 bits. A bucket over ``BUCKET`` rows is dealt again over the blocks of its free bits: a bucket with f free bits has at
 most 2**f fingerprints, so the splitting always ends. In a bucket the trie is walked in node pairs: both nodes
 descend together, differing bits add up, and a pair over the budget is pruned. A bucket returns a spanning forest of
-its links, not its pairs. Components: alternating large-star and small-star rounds over the forest's edges.
+its links, not its pairs. Components: alternating large-star and small-star rounds over the forest's edges, until they
+settle. Nodes are fingerprints; a component's id is the smallest doc_id of its rows. Fingerprints that a large part of
+the rows share are broadcast, not shuffled.
 
-Cases: null and empty text have fingerprint zero and link like any other; rows with a null doc_id get the component of
-their fingerprint (null if no row with an id is linked to it); repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored, whatever their names.
+Cases: null and empty text have fingerprint zero and link like any other; rows with a null doc_id link others and get the
+component of their fingerprint (null if no row with an id is linked to it); repeated rows give repeated results; an
+empty table gives an empty result; other columns are ignored, whatever their names.
+
+:mod:`simhash_docs` runs the same trie join on five-word shingles with a wide budget and an exact check.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, join_spread, materialize, partitions
 
 BUDGET = 3
 #: A bucket with more distinct fingerprints is dealt again.
@@ -46,8 +50,8 @@ def shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    h = shingles(text, shingle, seed)
+def sign(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that over half of them set."""
     n = len(h)
     if n < 2:
         return int(h[0]) if n else 0
@@ -59,6 +63,10 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    return sign(shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp), fp the fingerprint as a signed long. Reads texts a few rows at a time."""
 
@@ -92,27 +100,47 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         _compress(parent)
 
 
-def trie_components(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIER) -> np.ndarray:
-    """Rows sorted by (group, fp), distinct -> for each row the first row of its component of links in its group.
+def _pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int):
+    """All pairs of rows of node pairs, a few at a time; a node with itself gives each pair once."""
+    size = (a1 - a0).astype(np.int64) * (b1 - b0)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        which = np.repeat(np.arange(lo, hi), size[lo:hi])
+        off = np.arange(len(which)) - np.repeat(ends[lo:hi] - size[lo:hi] - (ends[lo - 1] if lo else 0), size[lo:hi])
+        x, y = a0[which] + off // (b1 - b0)[which], b0[which] + off % (b1 - b0)[which]
+        keep = (a0[which] != b0[which]) | (x < y)
+        yield x[keep], y[keep]
+        lo = hi
+
 
-    A node is a range of rows that share the bits above the level; a pair of nodes holds (a0, a1, b0, b1, d).
+def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIER, label: np.ndarray | None = None):
+    """Rows sorted by (group, fp) -> arrays (x, y) of the pairs of rows of one group within ``budget`` bits.
+
+    A node is a range of rows that share the bits above the level; a pair of nodes holds (a0, a1, b0, b1, d). With
+    ``label``, pairs of nodes whose rows all have one label are pruned too, and pairs of one label are left out.
     """
     n = len(fp)
-    parent = np.arange(n)
-    if n < 2:
-        return parent
-    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if n else np.zeros(1, np.int64)
     lo, hi = edges[:-1], edges[1:]
     big = hi - lo > 1
     lo, hi = lo[big].astype(np.int32), hi[big].astype(np.int32)
     todo = [(63, np.stack([lo, hi, lo, hi, np.zeros_like(lo)]))] if len(lo) else []
     ones: dict[int, np.ndarray] = {}
+    changes = None if label is None else np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
 
     def ones_before(bit: int) -> np.ndarray:
         if bit not in ones:
             ones[bit] = np.concatenate(([0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1)))).astype(np.int32)
         return ones[bit]
 
+    def near(x: np.ndarray, y: np.ndarray):
+        ok = np.bitwise_count(fp[x] ^ fp[y]) <= budget
+        if label is not None:
+            ok &= label[x] != label[y]
+        return x[ok], y[ok]
+
     while todo:
         bit, p = todo.pop()
         if p.shape[1] > frontier:
@@ -121,17 +149,18 @@ def trie_components(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET, fro
         a0, a1, b0, b1, d = p
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
-            x, y = a0[leaf], b0[leaf]
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= budget
-            _union(parent, x[near], y[near])
+            yield near(a0[leaf], b0[leaf])
             p = p[:, ~leaf]
             a0, a1, b0, b1, d = p
-        if not p.shape[1] or bit < 0:
+        if not p.shape[1]:
+            continue
+        if bit < 0:  # rows of one fingerprint
+            for x, y in _pairs(a0, a1, b0, b1, frontier):
+                yield near(x, y)
             continue
         c = ones_before(bit)
         am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
-        same = a0 == b0
-        other = ~same
+        other = a0 != b0
         down = np.concatenate([
             np.stack([a0, am, b0, bm, d]),
             np.stack([am, a1, bm, b1, d]),
@@ -140,7 +169,18 @@ def trie_components(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET, fro
         ], axis=1)
         a0, a1, b0, b1, d = down
         live = (a1 > a0) & (b1 > b0) & (d <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
+        if label is not None:
+            down = down[:, live]
+            a0, a1, b0, b1, d = down
+            live = ~((label[a0] == label[b0]) & (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0]))
         todo.append((bit - 1, down[:, live]))
+
+
+def trie_components(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIER) -> np.ndarray:
+    """Rows sorted by (group, fp), distinct -> for each row the first row of its component of links in its group."""
+    parent = np.arange(len(fp))
+    for x, y in trie_join(group, fp, budget, frontier):
+        _union(parent, x, y)
     _compress(parent)
     return parent
 
@@ -202,44 +242,41 @@ def links(fps: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFra
     return live.select("bucket", "fp", "rep").repartition(n, "bucket").mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (id, root): root is the smallest id that can be reached. Large-star and small-star in turn.
 
     Each round keeps only (node, smaller neighbour) rows; the smallest of a node comes from an aggregate with map-side
-    combining, and goes back to the node's edges by a join that can split a hot node.
+    combining, and goes back to the node's edges by a join that broadcasts hot nodes. The rounds end when nothing
+    changes: a few more than the logarithm of the longest path.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "cc")
-    mark = None
-    for _ in range(max_rounds):
+    mark, total = None, now.count()
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v"), F.col("m").alias("u")).where("u < v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_spread(both.where("v > u"), low, "u", "n", total).select(F.col("v"), F.col("m").alias("u")).where("u < v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
+        # a node has few smaller neighbours left
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u < v").distinct()
         after = materialize(small, "cc")
         new = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(now)
-        now = after
+        now, total = after, new[0]
         if new == mark:
-            break
+            return now.select(F.col("v").alias("id"), F.col("u").alias("root"))
         mark = new
-    return now.select(F.col("v").alias("id"), F.col("u").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, text) -> doc_id, fp, component_id."""
     fps = materialize(fingerprints(docs), "simhash-fp")
-    one = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(one.where(F.col("rep").isNotNull()), budget, bucket))
-    label = one.join(roots, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their group; of repeated rows with one id, one row stays."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    one = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-one")
+    roots = components(links(one.select("fp", F.col("fp").alias("rep")), budget, bucket))
+    label = one.join(roots, F.col("fp") == F.col("id"), "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root"))
+    linked = materialize(label, "simhash-roots")
+    first = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    label = join_spread(linked.select("fp", "n", "root"), first, "root", "size", linked.count()).select("fp", "n", "component_id")
+    return join_spread(fps, materialize(label, "simhash-label"), "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def op3(spark, sf_dir) -> DataFrame:
