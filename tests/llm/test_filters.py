@@ -99,7 +99,7 @@ def test_a_changed_value_drops_its_windows_only(spark):
     for most in (200_000, 0):
         got = {r["doc_id"]: r for r in decontam.matches(docs, bench, broadcast=most).collect()}
         assert set(got) == {1, 2, 3}
-        assert got[1]["n_windows"] == got[1]["item_windows"] - 1 and not got[1]["same_values"]  # "w On" makes a name of "On"
+        assert got[1]["n_windows"] == got[1]["item_windows"] and not got[1]["same_values"]  # those with the old value are unchanged
         assert got[2]["coverage"] > 0.9 and not got[2]["same_values"] and got[3]["coverage"] > 0.9 and got[3]["same_values"]
     names = "then Anna gave seven red apples to the old farmer and so Anna asked whether he liked what Anna grew there at home"
     docs = spark.createDataFrame([(1, "w " + names.replace("Anna", "Dora").replace("what Dora", "what Emil"))], "doc_id long, text string")
@@ -107,6 +107,64 @@ def test_a_changed_value_drops_its_windows_only(spark):
     assert 6 <= r["n_windows"] < r["item_windows"] and not r["same_values"]
 
 
+def test_reparameterised_questions(spark):
+    items = {
+        1: "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have now?",
+        2: "A train leaves New York at 9 and covers 1 000 miles in twenty five hours before it gets to Boston",
+        3: "What is the capital of France?",
+        4: "Mary Ann Smith sold eighty-five cakes and John sold 12 of them back to Mary Ann Smith on the same day",
+    }
+    rows = [
+        (10, "x " + items[1].replace("Tom", "Sam").replace("5", "9")),
+        (11, "Sam has twelve apples. Sam buys 3 more. How many apples does Sam have now? End."),
+        (12, "so " + items[2].replace("New York", "Chicago").replace("1 000", "750").replace("twenty five", "eleven").replace("Boston", "Salt Lake City").replace("miles", "km")),
+        (13, "Well. What is the capital of France? Paris is."), (14, "Rome is the capital of Italy."),
+        (15, "Then " + items[4].replace("Mary Ann Smith", "Rob").replace("John", "Al Green").replace("eighty-five", "7")),
+        (16, items[4].upper()), (17, items[2].lower()),
+        (18, "Tom has a dog. Sam buys food. How many days does the food last?"), (19, "nothing of the kind, only 5 apples and 1 000 miles in New York"),
+    ]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (200_000, 0):
+        got = {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontam.matches(docs, bench, broadcast=most).collect()}
+        assert got == {(10, 1): False, (11, 1): False, (12, 2): False, (13, 3): True, (15, 4): False, (16, 4): True, (17, 2): True}
+
+
+def _plain_words(text):
+    out = []
+    for w in (text or "").split():
+        core = re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", w.lower())
+        out.append(core or w.lower())
+    return out
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    items = {i: " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30))) for i in range(25)}
+    docs = []
+    for k in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
+        if k % 2:
+            part = items[rng.randrange(25)].split()
+            a = rng.randrange(len(part))
+            w[len(w) // 2 : len(w) // 2] = part[a : a + rng.randint(1, 25)] if k % 4 == 1 else part
+        docs.append((k, " ".join(w)))
+    want = set()
+    for d, text in docs:
+        mine = _plain_words(text)
+        for i, t in items.items():
+            it = _plain_words(t)
+            n = min(8, len(it))
+            have = {tuple(mine[p : p + n]) for p in range(len(mine) - n + 1)}
+            wins = [tuple(it[q : q + n]) for q in range(len(it) - n + 1)]
+            hits = sum(w in have for w in wins)
+            if hits and (2 * hits >= len(wins) or hits >= 6):
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == want and len(want) > 30
+
+
 def test_slots_must_be_consistent(spark):
     item = "then Anna gave Bert seven apples and so Anna asked whether Bert liked what Anna grew there at home"
     bad = item.replace("Bert", "Carl", 1)
