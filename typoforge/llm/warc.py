@@ -5,9 +5,10 @@ A response is rendered as an HTTP message in a ``response`` record. The ``metada
 WARC-Refers-To and carry its target, date and source headers; every record has a block digest, the response a payload
 digest, which the derivatives repeat as the digest of their source.
 
-A page is read by one forward scan, in time proportional to its length whatever it holds: text up to the next "<", then a
-comment, an element whose content is not shown, or a tag. As browsers do, a comment, script or style that is not closed
-hides the rest of the page; other hidden elements that are not closed are read like any tag.
+A page is read in time proportional to its length whatever it holds: a forward scan cuts out comments and elements whose
+content is not shown, then tags go; patterns run up to the last ">" only, so none of them is tried in vain to the end. As
+browsers do, a comment, script or style that is not closed hides the rest of the page; other hidden elements that are not
+closed are read like any tag.
 
 Ids are version-5 style UUIDs of page id, url and payload digest, so reruns and retries give the same bytes, and pages
 that differ in any of them differ in their ids; the date is a parameter.
@@ -32,12 +33,16 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 BATCH = 8 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Elements whose content is not shown; of the first two it is not even markup.
-_RAW, _HIDDEN = ("script", "style"), ("script", "style", "template", "noscript", "head")
-_BLOCK = frozenset("p div section article header footer nav ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre main aside form figure dl dt dd br hr".split())
+#: The content of these is not even markup.
+_RAW = ("script", "style")
+_START = re.compile(r"(?i)<!--|<(script|style|template|noscript|head)\b[^>]*+>")
+_BLOCK = re.compile(r"(?i)<(?:/?(?:p|div|section|article|header|footer|nav|ul|ol|li|table|tr|h[1-6]|blockquote|pre|main|aside|form|figure|dl|dt|dd)|br|hr)\b[^>]*+>")
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*+>")
+_TITLE = re.compile(r"(?i)<title\b[^>]*+>")
+_TITLE_END = re.compile(r"(?i)</title")
+_ANCHOR = re.compile(r"(?i)<a\b[^>]*+>")
+_HREF = re.compile(r"""(?i)\shref\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""")
 _ASCII = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
-_NAME = re.compile(r"/?([a-z][a-z0-9]*+)")
-_HREF = re.compile(r"""\shref\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""")
 _SPACES = re.compile(r"[^\S\n]+")
 
 
@@ -54,58 +59,51 @@ class _Finder:
         return got
 
 
+def _visible(page: str) -> tuple[str, str]:
+    """Markup without comments, scripts and styles; the same without all elements that are not shown."""
+    low = page.lower()
+    if len(low) != len(page):
+        low = page.translate(_ASCII)
+    find, after = _Finder(low), _Finder(low)
+    n, last = len(page), page.rfind(">") + 1
+    markup, shown, at, hidden_to = [], [], 0, 0
+
+    def emit(a: int, b: int) -> None:
+        markup.append(page[a:b])
+        if b > hidden_to:
+            shown.append(page[max(a, hidden_to) : b])
+
+    while m := _START.search(page, at, last):
+        start, end = m.span()
+        emit(at, start)
+        name = m[1].lower() if m[1] else None
+        close = find("</" + name if name else "-->", end)
+        if name and close >= 0:
+            close = after(">", close)
+        if start >= hidden_to:
+            shown.append(" ")
+        if name and name not in _RAW:
+            markup.append(m[0])
+            at, hidden_to = end, max(hidden_to, close + 1)
+        else:
+            at = n if close < 0 else close + (1 if name else 3)
+    if at < n:
+        tail = page.find("<!--", max(at, last))
+        emit(at, n if tail < 0 else tail)
+    return "".join(markup), "".join(shown)
+
+
 def scan(page: str) -> tuple[str, str | None, list[str]]:
     """A page -> plain text, title, link targets."""
-    low = page.translate(_ASCII)  # of the same length
-    find, after, n = _Finder(low), _Finder(low), len(page)
-    out, links, title, at, hidden_to = [], [], None, 0, 0
-    while at < n:
-        lt = find("<", at)
-        if lt < 0:
-            lt = n
-        if at < lt and at >= hidden_to:
-            out.append(html.unescape(page[at:lt]))
-        if lt == n:
-            break
-        if low.startswith("<!--", lt):
-            end = find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            if lt >= hidden_to:
-                out.append(" ")
-            continue
-        c = low[lt + 1 : lt + 2]
-        end = find(">", lt) if c and (c in "/!?" or "a" <= c <= "z") else -1
-        if end < 0:  # a sign, no tag
-            if lt >= hidden_to:
-                out.append("<")
-            at = lt + 1
-            continue
-        at = end + 1
-        m = _NAME.match(low, lt + 1, end)
-        name, closing = (m[1], c == "/") if m else ("", False)
-        if name == "a" and not closing and (h := _HREF.search(low, lt, end)):
-            k = h.lastindex
-            links.append(html.unescape(page[h.start(k) : h.end(k)]))
-        if name == "title" and not closing and title is None:
-            close = find("</title", at)
-            if close >= 0:
-                title = " ".join(html.unescape(page[at:close]).split())
-                if lt < hidden_to:  # as in a head: not shown anyway
-                    at = close
-        if lt < hidden_to:
-            continue
-        if name in _HIDDEN and not closing:
-            close = find("</" + name, at)
-            if close >= 0:
-                close = after(">", close)
-            out.append(" ")
-            if name in _RAW:
-                at = n if close < 0 else close + 1
-            elif close >= 0:
-                hidden_to = close + 1  # its links and title still count
-        elif name in _BLOCK:
-            out.append("\n")
-    lines = (x.strip() for x in _SPACES.sub(" ", "".join(out)).split("\n"))
+    markup, shown = _visible(page)
+    last = markup.rfind(">") + 1
+    links = [html.unescape(h[h.lastindex]) for a in _ANCHOR.finditer(markup, 0, last) if (h := _HREF.search(a[0]))]
+    title = _TITLE.search(markup, 0, last)
+    end = _TITLE_END.search(markup, title.end()) if title else None
+    title = " ".join(html.unescape(markup[title.end() : end.start()]).split()) if end else None
+    last = shown.rfind(">") + 1
+    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", shown[:last])) + shown[last:])
+    lines = (x.strip() for x in _SPACES.sub(" ", text).split("\n"))
     return "\n".join(x for x in lines if x), title, links
 
 
