@@ -54,6 +54,41 @@ def test_sainte_lague(spark):
         assert {r["k"]: r["quota"] for r in mixing.sainte_lague(df, ["k"], "v", "seats").collect()} == brute_seats(votes, seats)
 
 
+def test_blocks_are_skipped_and_results_exact():
+    rng = np.random.default_rng(4)
+    index = search.Index(4000, 20.0)
+    common = [f"c{k}" for k in range(30)]
+    for i in range(4000):
+        near = [f"g{i // 20}x{k}" for k in range(6)] if i % 2 else []
+        index.add(i, " ".join([*rng.choice(common, 15), *near]))
+    index.close()
+    reads = []
+    whole = search._spread
+
+    def counted(start, size):
+        reads.append(int(size.sum()))
+        return whole(start, size)
+
+    search._spread = counted
+    try:
+        for group in (3, 77, 150):
+            q = [index.number[f"g{group}x{k}".encode()] for k in range(6)] + [index.number[c.encode()] for c in common[:8]]
+            q = np.array(q)
+            post = index.start[index.cut[q + 1]] - index.start[index.cut[q]]
+            idf = np.log(1 + (4000 - post + 0.5) / (post + 0.5))
+            reads.clear()
+            ids, score = index.search(q, idf)
+            want = np.zeros(4000)
+            for w, x in zip(q.tolist(), idf.tolist(), strict=True):
+                a, b = index.start[index.cut[w]], index.start[index.cut[w + 1]]
+                want[index.doc[a:b]] += index.part[a:b] * x
+            order = np.lexsort((index.id, -want))[:10]
+            assert ids.tolist() == index.id[order].tolist() and np.allclose(score, want[order])
+            assert sum(reads[1:]) < post.sum() / 2  # postings read, of all
+    finally:
+        search._spread = whole
+
+
 def test_search_is_exact(spark):
     df, rows = documents(spark, n=150)
     docs = [(i, Counter(search.words(t))) for i, t, *_ in rows if i is not None]

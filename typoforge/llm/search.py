@@ -3,13 +3,17 @@
 Score of a document: the sum over the query's distinct words of idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)),
 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and avgdl are those of all documents, so scores of shards compare.
 
-A shard lines its documents up by length in blocks of ``BLOCK``. Words in over ``COMMON`` of all documents have dense
-rows of counts and the largest part per block; the others have postings. For a query, the postings of its rarer words
-are added up; the bound of a document is that sum plus the block maxima of the common words; candidates are scored in
-the order of their bounds until no bound reaches the k-th best score. Nothing else is dropped, so the result is exact.
+Index: a shard lines its documents up, those with words in common as neighbours. The posting list of a word is cut where
+blocks of ``BLOCK`` documents end; each piece has its largest part of a score and its place, so all words have block maxima.
 
-Queries are rows of a table; each goes to every shard, one after the other (a query set against all rows, in blocks):
-a task holds one shard's index and one batch of queries. A shard's size is a parameter, not a share of the input.
+Search: the maxima of a block's pieces, times idf, add up to the bound of its documents. Pivots are the blocks of the
+highest bounds, ``WAVE`` at first: cursors go to their postings, whatever lies between is skipped, and the k-th best score
+rises. Then come the blocks whose bounds still reach it, four times as many, and so on until none does. Nothing else is
+dropped, so the result is exact.
+
+Queries are rows of a table, packed in blocks of some hundred with one list of their words; equal queries are neighbours
+and searched for once. Each block goes to every shard, one after the other (a query set against all rows, in blocks): a
+task holds one shard's index and one block of queries. A shard's size is a parameter, not a share of the input.
 
 Ties go to the smaller id. Cases: null and empty texts match nothing and, as queries, find nothing; null doc_ids are not
 searched for nor found; repeated rows are all found; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +21,7 @@ searched for nor found; repeated rows are all found; an empty table gives an emp
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import Counter
 
@@ -25,9 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
+from .substring import pack, unpack
 
 K1, B, TOP = 1.2, 0.75, 10
-BLOCK, COMMON, SHARD_DOCS = 64, 0.04, 16_000
+BLOCK, WAVE = 64, 8
+#: Documents and words that a shard has at most, on average.
+SHARD_DOCS, SHARD_WORDS = 16_000, 12_000_000
+#: Queries and words of a block of queries.
+PACK, PACK_WORDS = 256, 100_000
 #: Distinct words that a task counts before it sends the counts on.
 HELD = 300_000
 
@@ -72,15 +82,22 @@ def _distinct_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.binary())], names=["id", "word"])
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] of them, then those of start[1], and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class Index:
     """One shard. ``add`` documents, ``close``, then ``search``."""
 
-    def __init__(self, n: int, avgdl: float, common: float = COMMON):
-        self.n, self.avgdl, self.common = n, max(avgdl, 1e-9), common * n
+    def __init__(self, n: int, avgdl: float):
+        self.n, self.avgdl = n, max(avgdl, 1e-9)
         self.number: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.length: list[int] = []
         self.size: list[int] = []
+        self.kind: list[int] = []
         self.word, self.count = array("i"), array("i")
         self.ready = False
 
@@ -93,11 +110,13 @@ class Index:
         self.size.append(len(c))
         self.ids.append(doc_id)
         self.length.append(len(w))
+        self.kind.append(min(map(zlib.crc32, c), default=0) & 0xFFFFFFFF)
 
     def close(self) -> None:
-        length = np.array(self.length, np.int64)
-        place = np.lexsort((np.array(self.ids, np.int64), length))
-        self.id = np.array(self.ids, np.int64)[place]
+        """Documents are lined up so that those with words in common are neighbours, then by length."""
+        ids, length = np.array(self.ids, np.int64), np.array(self.length, np.int64)
+        place = np.lexsort((ids, length, np.array(self.kind, np.int64)))
+        self.id = ids[place]
         length = length[place]
         word, count = np.array(self.word, np.int32), np.array(self.count, np.int32)
         self.word, self.count = array("i"), array("i")
@@ -109,105 +128,134 @@ class Index:
         self.doc, word, count = doc[order], word[order], count[order]
         del doc, order
         self.part = count * (K1 + 1) / (count + norm[self.doc])  # what idf is multiplied by
-        self.cut = np.searchsorted(word, np.arange(len(self.number) + 1))
-        self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.block = np.arange(len(self.id)) // BLOCK
+        block = self.doc // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])))) if len(word) else np.zeros(0, np.int64)
+        self.blocks = -(-len(self.id) // BLOCK)
+        self.block = block[first]
+        self.start = np.append(first, len(word))
+        self.most = np.maximum.reduceat(self.part, first) if len(first) else np.zeros(0)
+        self.cut = np.searchsorted(word[first], np.arange(len(self.number) + 1))
         self.ready = True
 
-    def row(self, w: int) -> tuple[np.ndarray, np.ndarray]:
-        """A common word's part for every document, and the largest of each block."""
-        if w not in self.dense:
-            full = np.zeros(-(-len(self.id) // BLOCK) * BLOCK, np.float32)
-            a, b = self.cut[w], self.cut[w + 1]
-            # a float32 above the part: bounds stay bounds
-            full[self.doc[a:b]] = np.nextafter(self.part[a:b].astype(np.float32), np.float32(9))
-            self.dense[w] = (np.full(len(self.id), -1, np.int32), full.reshape(-1, BLOCK).max(axis=1))
-            self.dense[w][0][self.doc[a:b]] = np.arange(a, b)
-        return self.dense[w]
-
-    def search(self, query: list[bytes], df: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
-        """Words by (df, word), with df -> ids and scores of the best, by (score, id)."""
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        known = [(self.number[w], x, f > self.common) for w, x, f in zip(query, idf.tolist(), df.tolist(), strict=True) if w in self.number]
-        rare, often = [(w, x) for w, x, c in known if not c], [(w, x) for w, x, c in known if c]
-        sums = np.zeros(len(self.id))
-        if rare:
-            spans = [(self.cut[w], self.cut[w + 1], x) for w, x in rare]
-            docs = np.concatenate([self.doc[a:b] for a, b, _ in spans])
-            sums = np.bincount(docs, weights=np.concatenate([self.part[a:b] * x for a, b, x in spans]), minlength=len(self.id))
-        bound = sums
-        if often:
-            most = np.zeros(-(-len(self.id) // BLOCK))
-            for w, x in often:
-                most += self.row(w)[1] * x
-            bound = sums + (most * (1 + 1e-9))[self.block]
-        least, best_id, best = 0.0, np.zeros(0, np.int64), np.zeros(0)
-        take, live = 4 * top, np.flatnonzero(bound > 0)
+    def search(self, query: np.ndarray, idf: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words and their idf -> ids and scores of the best, by (score, id)."""
+        size = self.cut[query + 1] - self.cut[query]
+        entry, weight = _spread(self.cut[query], size), np.repeat(idf, size)
+        block = self.block[entry]
+        # the sum of a block's maxima bounds the scores in it; a little more, as sums are rounded
+        bound = np.bincount(block, weights=self.most[entry] * weight, minlength=self.blocks) * (1 + 1e-9)
+        live = np.argsort(-bound, kind="stable")
+        live = live[bound[live] > 0]
+        best_id, best, take = np.zeros(0, np.int64), np.zeros(0), WAVE
+        slot = np.full(self.blocks, -1, np.int64)
         while len(live):
-            if len(live) > take:
-                first = np.argpartition(-bound[live], take - 1)
-                now, live = live[first[:take]], live[first[take:]]
-            else:
-                now, live = live, live[:0]
-            score = sums[now].copy()
-            for w, x in often:
-                at = self.row(w)[0][now]
-                score += np.where(at >= 0, self.part[at], 0.0) * x
-            best_id, best = np.concatenate((best_id, self.id[now])), np.concatenate((best, score))
+            # pivots: the blocks of the highest bounds; cursors go to their postings and skip the others
+            now, live = live[:take], live[take:]
+            slot[now] = np.arange(len(now)) * BLOCK
+            at = slot[block]
+            on = np.flatnonzero(at >= 0)
+            e = entry[on]
+            size = self.start[e + 1] - self.start[e]
+            post = _spread(self.start[e], size)
+            where = np.repeat(at[on], size) + self.doc[post] % BLOCK
+            score = np.bincount(where, weights=self.part[post] * np.repeat(weight[on], size), minlength=len(now) * BLOCK)
+            slot[now] = -1
+            least = best[-1] if len(best) == top else 0.0
+            hit = np.flatnonzero((score > 0) & (score >= least))
+            ids = self.id[now[hit // BLOCK] * BLOCK + hit % BLOCK]
+            best_id, best = np.concatenate((best_id, ids)), np.concatenate((best, score[hit]))
             order = np.lexsort((best_id, -best))[:top]
             best_id, best = best_id[order], best[order]
             if len(best) == top:
-                least = best[-1]
-                live = live[bound[live] >= least]
-            take *= 2
-        keep = best > 0
-        return best_id[keep], best[keep]
+                live = live[: np.searchsorted(-bound[live], -best[-1], "right")]  # bounds fall
+            take *= 4
+        return best_id, best
 
 
 def _search(n: int, avgdl: float, top: int):
     def run(batches):
+        index = Index(n, avgdl)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                kind, ids, texts, blobs = (b.column(k)[at : at + 64] for k in ("kind", "id", "text", "queries"))
+                for k, i, text, blob in zip(kind, ids, texts, blobs, strict=True):
+                    if k.as_py() == 0:
+                        index.add(i.as_py(), text.as_py())
+                        continue
+                    if not index.ready:
+                        index.close()
+                    yield answers(index, blob.as_py(), top)
+
+    def answers(index: Index, blob: bytes, top: int):
         import pyarrow as pa
 
-        index, shard = None, None
-        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
-            out = []
-            for s, kind, i, text, found in zip(*[b.column(k).to_pylist() for k in ("shard", "kind", "id", "text", "df")], strict=True):
-                if s != shard:
-                    index, shard = Index(n, avgdl), s
-                if kind == 0:
-                    index.add(i, text)
-                    continue
-                if not index.ready:
-                    index.close()
-                out += [(i, d, x) for d, x in zip(*[v.tolist() for v in index.search(text.encode("utf-8", "surrogatepass").split(b" "), np.frombuffer(found, np.int64), top)], strict=True)]
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
+        ids, ends, refs, df, words_of, cut = unpack(blob)
+        raw, cut = words_of.tobytes(), cut.tolist()
+        number = np.array([index.number.get(raw[x:y], -1) for x, y in zip([0, *cut[:-1]], cut, strict=True)], np.int64)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        found, size = [], []
+        for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            mine = refs[x:y]
+            key = mine.tobytes()
+            if key not in known:
+                mine = mine[number[mine] >= 0]
+                known[key] = index.search(number[mine], idf[mine], top)
+            found.append(known[key])
+            size.append(len(known[key][0]))
+        cols = [np.repeat(ids, size), *(np.concatenate(x) for x in zip(*found, strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
 
     return run
 
 
-def _as_query(batches):
-    """Sorted (df, word) pairs of a query -> one text of words and their dfs as bytes."""
+def _packed(batches):
+    """Rows (id, pairs of df and word, sorted) -> blocks of queries: ids, ends of their words, words by place, df, words."""
     import pyarrow as pa
 
-    for b in batches:
-        pairs = [[(p["df"], p["word"]) for p in x] for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(w for _, w in p).decode("utf-8", "surrogatepass") for p in pairs]), pa.array([np.array([f for f, _ in p], np.int64).tobytes() for p in pairs], pa.binary())], names=["id", "text", "df"])
+    ids: list[int] = []
+    ends: list[int] = []
+    refs: list[int] = []
+    place: dict[bytes, int] = {}
+    df: list[int] = []
 
+    def block():
+        every = list(place)
+        cut = np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))
+        blob = pack(np.array(ids, np.int64), np.array(ends, np.int64), np.array(refs, np.int32), np.array(df, np.float64), np.frombuffer(b"".join(every), np.uint8), cut)
+        for x in (ids, ends, refs, place, df):
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["queries"])
 
-def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    for b in batches:
+        for i, pairs in zip(b.column(0), b.column(1), strict=True):
+            ids.append(i.as_py())
+            for x in pairs.as_py():
+                if x["word"] not in place:
+                    place[x["word"]] = len(place)
+                    df.append(x["df"])
+                refs.append(place[x["word"]])
+            ends.append(len(refs))
+            if len(ids) >= PACK or len(refs) >= PACK_WORDS:
+                yield block()
+    if ids:
+        yield block()
+
+
+def search(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, text), (query_id, text) -> query_id, rank, doc_id, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     counts = materialize(docs.select("text").mapInArrow(_counts, "word binary, n long, total long").groupBy("word").agg(F.sum("n").alias("df"), F.sum("total").alias("total")), "search-df")
     whole = counts.where(F.octet_length("word") == 0).first()
     n, total = (whole["df"], whole["total"]) if whole else (0, 0)
-    shards = max(1, -(-n // shard_docs))
+    shards = max(1, -(-n // shard_docs), -(-total // shard_words))
     asked = queries.select(F.col("query_id").cast("long").alias("id"), "text").where("id is not null").mapInArrow(_distinct_words, "id long, word binary")
     asked = asked.join(counts.select("word", "df"), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("pairs"))
-    asked = asked.mapInArrow(_as_query, "id long, text string, df binary")
-    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "text", "df")
-    own = docs.select(F.pmod(F.xxhash64("id", F.lit("search")), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("df"))
-    dealt = own.unionByName(every).repartition(max(shards, min(partitions(docs.sparkSession), 4 * shards)), "shard").sortWithinPartitions("shard", "kind", "id")
+    asked = asked.repartition(partitions(docs.sparkSession), F.xxhash64("pairs")).sortWithinPartitions(F.xxhash64("pairs"), "id")
+    blocks = materialize(asked.mapInArrow(_packed, "queries binary"), "search-queries")
+    every = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "queries")
+    own = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("queries"))
+    dealt = own.unionByName(every).repartitionById(shards, "shard").sortWithinPartitions("kind", "id")
     best = dealt.mapInArrow(_search(n, total / n if n else 0.0, top), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
