@@ -110,9 +110,9 @@ def test_suffix_array_dedup(spark, monkeypatch):
     df, rows = documents(spark)
     want = brute_removed(rows)
     assert sum(x[1] for x in want.values()) > 2000
-    for hot, shard in ((20_000, 4 << 20), (3, 4000)):  # the second one: every repeated name is hot, many shards
+    for hot, shard in ((20_000, 4 << 20), (3, 4000), (4, 4001)):  # those after the first: every repeated name is hot, many shards
         monkeypatch.setattr(substring, "HOT", hot)
-        monkeypatch.setattr(substring, "LOCAL", 2 if hot == 3 else 64)
+        monkeypatch.setattr(substring, "LOCAL", 2 if hot == 3 else 10**6)
         monkeypatch.setattr(substring, "SORT_SHARD", shard)
         got = substring.dedup(df).collect()
         assert len(got) == len(rows)
@@ -125,6 +125,26 @@ def test_suffix_array_dedup(spark, monkeypatch):
     assert substring.dedup(empty(spark)).count() == 0
 
 
+def test_suffix_array_dedup_with_a_common_line_and_odd_columns(spark, monkeypatch):
+    rng = random.Random(17)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 400))) + (line if k % 9 == 0 else "") + "".join(rng.choice("xyz") for _ in range(90))) for k in range(300)]
+    rows += [((1 << 63) - 1, line + "last"), ((1 << 63) - 1, None)]
+    want = brute_removed(rows)
+    docs = spark.createDataFrame([(i, t, 1, "a", 2, "b", 3, i) for i, t in rows + [(None, line + "none"), (None, line + "last")]], "doc_id long, text string, __id int, __h string, __chunk int, c0 string, n_chars int, __doc long").repartition(7)
+    for local, hot in ((64, 2_000), (10**6, 20), (2, 20)):  # no hot names; found when counted exactly; found in batches
+        monkeypatch.setattr(substring, "LOCAL", local)
+        monkeypatch.setattr(substring, "HOT", hot)
+        got = substring.dedup(docs).collect()
+        assert len(got) == len(rows) + 2
+        assert {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got if r["doc_id"] is not None and r["doc_id"] < 300} == {(i, v[0]): v[1:4] for i, v in want.items() if i < 300}
+        ends = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] is None or r["doc_id"] > 300)
+        assert ends == [(str((1 << 63) - 1), 0, 0), (str((1 << 63) - 1), 164, 160), ("None", 164, 160), ("None", 164, 164)]
+    kept = substring.dedup(docs, texts=True)
+    assert kept.columns == docs.columns and kept.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    assert kept.where("doc_id = __doc or (doc_id is null and __doc is null)").count() == len(rows) + 2
+
+
 def test_suffix_array_orders_and_spills():
     rng = random.Random(3)
     for _ in range(150):

@@ -7,17 +7,19 @@ alone. Steps:
 1. ``_names``: map over texts -> lists of segment names, by name shard.
 2. ``_repeated``: by name shard -> the segments whose name occurs again; a name that occurs once holds no repeat.
 3. ``_cut``: texts by chunk with the answers of 2 -> bytes of those segments, equal segments of a chunk collapsed to the
-   earliest. Names beyond ``HOT`` occurrences go on window by window, named by the whole window, so that a line that a
-   third of all documents hold is spread by its surroundings.
+   earliest. Hot names go on window by window, named by the whole window, so that a line that many documents hold is
+   spread by its surroundings.
 4. ``_sort``: by segment shard -> suffix and common-prefix arrays of the distinct segments (external induced sorting,
    :mod:`esort`); in each run of suffixes with 100 common bytes all windows but the earliest are removed.
 5. ``_apply``: texts by chunk with the removed spans -> results.
 
-Only lists of numbers and the segments that may repeat move in 1 to 4; a list of at most ``HOT_NAMES`` hot names, the
-heaviest, goes to all tasks. Queues of the sort spill to a scratch file of the task, as Spark's own sorts do; what passes
+Hot names have ``HOT`` occurrences, or one of ``HOT_NAMES`` of all if that is more, so there are at most as many. They are
+counted twice: step 1 adds up those that occur twice in a batch of lists, which finds what one document in a thousand
+holds, before anything is dealt; step 2 has all occurrences of the others of a shard and counts them exactly, before texts
+are dealt. Only lists of numbers and the segments that may repeat move in 1 to 4; the list of hot names goes to all tasks. Queues of the sort spill to a scratch file of the task, as Spark's own sorts do; what passes
 between tasks goes through shuffles and tables in the shared folder.
 
-Cases: null text is empty; texts under 100 bytes stay whole; null doc_ids come after all others; rows with one doc_id and
+Cases: null text is empty; texts under 100 bytes stay whole; null doc_ids come after all others, the largest id included; rows with one doc_id and
 different texts are different documents, ordered by a hash of the text; repeated rows (same id and text) are one document
 and get the same result; an empty table gives an empty result; columns besides doc_id and text are carried or ignored.
 """
@@ -38,9 +40,11 @@ LENGTH, GRAM = 100, 16
 CHUNK, NAME_SHARD, SORT_SHARD = 8 << 20, 32 << 20, 4 << 20
 #: Bytes of text that a task looks at in one go.
 BATCH = 1 << 19
-#: A name with more occurrences is hot, if it has LOCAL of them in some batch of lists; at most HOT_NAMES are.
-HOT, LOCAL, HOT_NAMES = 20_000, 64, 100_000
+#: See above; hot names take 16 MB at most.
+HOT, LOCAL, HOT_NAMES = 2_000, 2, 2_000_000
 _LAST = np.iinfo(np.int64).max
+#: Set in the hash of texts without id, whose id is read as _LAST.
+_NO_ID = 1 << 62
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -178,8 +182,15 @@ def _stack(blobs: list[list[np.ndarray]], at: int, docs: int) -> list[np.ndarray
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def _repeated(table):
-    """Lists of one shard -> (chunk, list of segments whose name occurs again)."""
+def _repeated(hot: int):
+    def run(table):
+        return repeated_names(table, hot)
+
+    return run
+
+
+def repeated_names(table, hot: int):
+    """Lists of one shard -> (chunk, list of segments whose name occurs again); hot names come as a list with chunk -1."""
     import pyarrow as pa
 
     schema = pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("list", pa.binary())])
@@ -192,9 +203,15 @@ def _repeated(table):
         same = s[1:] == s[:-1]
         twin[1:] |= same
         twin[:-1] |= same
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        count = np.diff(np.append(first, len(s)))
+        burning = count >= hot
+        if burning.any():
+            rows.append((-1, 0, pack(s[first[burning]])))
         keep = np.zeros(len(s), bool)
         keep[order] = twin
         keep |= (nth & 1).astype(bool)
+        keep[order] &= ~np.repeat(burning, count)
         place, nth = place[keep], nth[keep] >> 1
         to = chunks[place]
         order = np.argsort(to, kind="stable")
@@ -376,7 +393,7 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return left, len(raw) - len(left), runs
 
 
-def _apply(columns: list[str] | None):
+def _apply(columns: list[str] | None = None, text_at: str = "", n_chars: str | None = None):
     """The last step: those columns of the input, with the remaining text, or else the digest columns."""
 
     def run(left, right):
@@ -392,16 +409,22 @@ def _apply(columns: list[str] | None):
         got = [kept(r, spans.get(k, [])) for r, k in zip(raw, zip(ids.tolist(), hs.tolist(), strict=True), strict=True)]
         if columns:
             text = [x[0].decode("utf-8", "ignore") if x[1] else old for x, old in zip(got, left.column("text").to_pylist(), strict=True)]
-            cols = {c: left.column(c) for c in columns} | {"text": pa.array(text, pa.string())}
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in text]).cast(left.column("n_chars").type)
+            cols = {c: left.column(c) for c in columns} | {text_at: pa.array(text, pa.string())}
+            if n_chars:
+                cols[n_chars] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(left.column(n_chars).type)
             return pa.table({c: cols[c] for c in columns})
-        doc_id = pa.array(ids, pa.int64(), mask=ids == _LAST)
+        doc_id = pa.array(ids, pa.int64(), mask=(hs & _NO_ID) != 0)
         return pa.table({"doc_id": doc_id, "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "n_removed": pa.array([x[1] for x in got], pa.int64()), "n_spans": pa.array([x[2] for x in got], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())})
 
     return run
 
 
+def _hot_names(lists: DataFrame, hot: int) -> np.ndarray:
+    """Names that many batches of lists have in plenty."""
+    heavy = lists.where("shard < 0").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).select("name")
+    return np.sort(np.asarray(heavy.toArrow().column(0), np.int64).view(np.uint64))
+
+
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256; or the documents with what is left of their texts.
 
@@ -410,22 +433,32 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = lambda size: max(1, -(-total // size))
     plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    keyed = plain.select("*", F.coalesce("doc_id", F.lit(_LAST)).alias("__id"), F.xxhash64("text").alias("__h"))
+    # the columns of the input go by number, so none can clash with those added
+    at = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = plain.toDF(*at).select("*", F.col(at[docs.columns.index("doc_id")]).alias("__doc"), F.col(at[docs.columns.index("text")]).alias("text"))
+    lost = F.when(F.col("__doc").isNull(), F.lit(_NO_ID)).otherwise(F.lit(0).cast("long"))
+    keyed = keyed.withColumn("__id", F.coalesce("__doc", F.lit(_LAST))).withColumn("__h", F.xxhash64("text").bitwiseAND(_NO_ID - 1).bitwiseOR(lost)).drop("__doc")
     keyed = keyed.withColumn("__chunk", F.pmod(F.xxhash64("__id", "__h"), F.lit(shards(CHUNK))).cast("int"))
     small = keyed.select("__chunk", "__id", "__h", "text")
     lists = materialize(small.mapInArrow(_names(shards(NAME_SHARD)), "shard int, name long, n long, list binary"), "substring-names")
-    heavy = lists.where("shard < 0").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "name").limit(HOT_NAMES)
-    hot = np.array([r["name"] for r in heavy.select("name").collect()], np.int64).view(np.uint64)
+    # a name stands for some forty bytes of text
+    limit = max(HOT, total // 40 // HOT_NAMES)
+    hot = _hot_names(lists, limit)
     dealt = lists.where("shard >= 0").select("shard", "list").mapInArrow(_without(hot), "shard int, list binary")
-    answers = materialize(dealt.groupBy("shard").applyInArrow(_repeated, "chunk int, n long, list binary"), "substring-answers")
+    answers = materialize(dealt.groupBy("shard").applyInArrow(_repeated(limit), "chunk int, n long, list binary"), "substring-answers")
     found = answers.agg(F.sum("n")).first()[0] or 0
+    more = [unpack(x)[0] for x in answers.where("chunk < 0").select("list").toArrow().column(0).to_pylist()]
+    hot = np.unique(np.concatenate([hot, *more])).astype(np.uint64)
+    answers = answers.where("chunk >= 0")
     parts = max(1, -(-found * 140 // SORT_SHARD))
     packed = small.mapInArrow(_packed, "__chunk int, texts binary")
     cut = packed.groupBy("__chunk").cogroup(answers.select("chunk", "list").groupBy("chunk")).applyInArrow(_cut(hot, parts), "shard int, chunk int, list binary")
     spans = cut.groupBy("shard").applyInArrow(_sort, "chunk int, spans binary").groupBy("chunk")
     if texts:
-        return keyed.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(docs.columns), plain.schema)
-    return packed.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        n_chars = at[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+        schema = plain.toDF(*at).schema
+        return keyed.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(at, at[docs.columns.index("text")], n_chars), schema).toDF(*docs.columns)
+    return packed.groupBy("__chunk").cogroup(spans).applyInArrow(_apply(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4(spark, sf_dir) -> DataFrame:
