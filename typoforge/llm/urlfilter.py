@@ -5,7 +5,8 @@ level 3 the keys of level 1's list that level 2 takes for false positives; and s
 on the key universe, which is every host of the corpus with its parent domains. A key is listed if the first level
 that misses it is an even one. A level is an array of longs in one row; probes read it as a scalar subquery, so no
 join runs over the pages. A filter is broadcast with the plan: its bits are bounded by ``max_bits``, and a longer list
-is worked off in as many passes as the bound asks for, each with the keys of one residue.
+is worked off in as many passes over the pages as the bound asks for, each with the keys of one residue and, in memory, its
+own cascade only; verdicts so far are written to the shared folder between them.
 
 Cases: a null url, or one without ``://``, has host and path empty; empty keys and null keys of a list are ignored;
 repeated rows give repeated results; an empty table gives an empty result; of the pages only page_id and url are read.
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -117,20 +118,27 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BI
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> DataFrame:
     """pages (page_id, url) -> page_id, host, path, rule, verdict: the longest rule's, else by the list."""
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # only domains with as many labels as some listed key can be listed: at most the labels of a host name
     depths = sorted(r[0] for r in listed.where("key is not null and key <> ''").select(labels(F.col("key"))).distinct().collect())
     host = F.col("host")
     universe = seen.select("host").distinct().select(F.explode(F.array(F.lit(None).cast("string"), *[domain(host, n) for n in depths])).alias("key"))
-    cascades = build_cascade(listed, universe)
-    in_list = F.lit(False)
+    cascades = build_cascade(listed, universe, bits_per_key, max_bits)
+    seen = seen.withColumn("listed", F.lit(False))
     for c in cascades:
+        inside = F.col("listed")
         for n in depths:
-            in_list = in_list | F.coalesce(c.contains(domain(host, n)), F.lit(False))
+            inside = inside | F.coalesce(c.contains(domain(host, n)), F.lit(False))
+        after = seen.withColumn("listed", inside)
+        if len(cascades) > 1:
+            after = materialize(after, "url-pass")
+            if c.number:
+                discard(seen)
+        seen = after
     rule, action = rule_fit(F.col("host"), F.col("path"), rules)
-    return seen.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(in_list, "block").otherwise("allow")).alias("verdict"))
+    return seen.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op1(spark, sf_dir) -> DataFrame:
