@@ -2,7 +2,8 @@
 
 Each document becomes ten numbers (logs and log-ratios of counts). Class means and covariances come from one
 aggregate over all labelled rows. A class covariance is shrunk towards the pooled one and towards its diagonal;
-the Cholesky factor and log-determinant of each class are computed once and go to the tasks with the function. The
+the Cholesky factor and log-determinant of each class are computed once and go to the tasks with the function, which
+solves with them by forward substitution. The
 score is the logistic of the difference of the log-densities plus the log-prior, divided by ``temperature``.
 
 Cases: null and empty texts have the statistics of no words and get a score; null labels and labels without a document
@@ -72,6 +73,14 @@ def majority(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(column).cast("double")).alias("m")).where("m <> 0.5").select("doc_id", (F.col("m") > 0.5).cast("int").alias("y"))
 
 
+def solve_lower(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """factor^-1 b for a lower triangular factor, by forward substitution."""
+    z = np.empty_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 class Model:
     def __init__(self, mean: np.ndarray, chol: np.ndarray, logdet: np.ndarray, prior: np.ndarray, temperature: float, constant: float | None = None):
         self.mean, self.chol, self.logdet, self.prior, self.temperature, self.constant = mean, chol, logdet, prior, temperature, constant
@@ -79,7 +88,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        log = [self.prior[c] - 0.5 * self.logdet[c] - 0.5 * (np.linalg.solve(self.chol[c], (x - self.mean[c]).T) ** 2).sum(axis=0) for c in (0, 1)]
+        log = [self.prior[c] - 0.5 * self.logdet[c] - 0.5 * (solve_lower(self.chol[c], (x - self.mean[c]).T) ** 2).sum(axis=0) for c in (0, 1)]
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / self.temperature, -700, 700)))
 
 
@@ -106,7 +115,9 @@ def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", folds:
     """-> doc_id, held_out, score, predicted. Rows whose fold is ``held`` lend no label."""
     x = materialize(features(docs), "quality-x").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)))
     y = majority(labels, column)
-    model = fit(x.where("not held_out").dropDuplicates(["doc_id"]).join(y, "doc_id"))
+    # of several texts of a document one lends its label, the same in each run
+    one = x.where("not held_out").groupBy("doc_id").agg(F.min(F.struct(*[f"x{k}" for k in range(D)])).alias("x")).select("doc_id", "x.*")
+    model = fit(one.join(y, "doc_id"))
 
     def run(batches):
         import pyarrow as pa
