@@ -25,6 +25,8 @@ def test_url_rules_and_cascade(spark):
         bad = any(host == x or host.endswith("." + x) for x in listed)
         want.add((i, host, path, rule, act or ("block" if bad else "allow")))
     assert got == want
+    long = urlfilter.judge(pages, spark.createDataFrame([(h,) for h in listed], "key string"), bits_per_key=4, max_bits=512)
+    assert {tuple(r) for r in long.collect()} == want
     assert urlfilter.judge(pages.limit(0), spark.createDataFrame([], "key string")).count() == 0
 
 
@@ -294,6 +296,31 @@ def test_toxicity_held_out_and_gaps(spark):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_score_is_the_density_ratio(spark):
+    rng = np.random.default_rng(5)
+    x = {c: rng.normal(size=(60, quality.D)) @ rng.normal(size=(quality.D, quality.D)) + c for c in (0, 1)}
+    rows = [(c, *map(float, r)) for c in x for r in x[c]]
+    model = quality.fit(spark.createDataFrame(rows, "y int, " + ", ".join(f"x{k} double" for k in range(quality.D))))
+    cov = [np.cov(x[c].T, bias=True) for c in (0, 1)]
+    pooled = (cov[0] + cov[1]) / 2
+    log = []
+    probe = rng.normal(size=(40, quality.D)) * 3
+    for c in (0, 1):
+        s = (1 - quality.RIDGE) * ((1 - quality.SHRINK) * cov[c] + quality.SHRINK * pooled) + quality.RIDGE * np.diag(np.diag(pooled) + 1e-3)
+        d = probe - x[c].mean(axis=0)
+        log.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log(0.5))
+    assert np.allclose(model.score(probe), 1 / (1 + np.exp(-np.clip(log[1] - log[0], -700, 700))), atol=1e-9)
+    assert np.allclose(model.chol[0] @ quality.solve_lower(model.chol[0], probe.T), probe.T)
+
+
+def test_quality_with_several_texts_of_a_document_is_the_same_in_each_run(spark):
+    rng = random.Random(2)
+    rows = [(i % 50, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 50)))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    run = lambda n: sorted(map(str, quality.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels).select("doc_id", "predicted").collect()))
+    assert run(3) == run(5)
+
+
 def test_quality_held_out(spark):
     rng = random.Random(9)
     rows = []

@@ -39,6 +39,15 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_rows_without_id_are_spread(spark):
+    rows = [(None, f"a b c d {k} e", "s") for k in range(2000)] + [(7, f"x y {k}", "t") for k in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_docs=100)
+    per = Counter((r["source"], r["shard"]) for r in got.collect())
+    assert sum(per.values()) == 2500 and max(per.values()) < 200 and len(per) == 50
+    again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(9), shard_docs=100)
+    assert sorted(map(str, again.select("doc_id", "size", "taken").collect())) == sorted(map(str, got.select("doc_id", "size", "taken").collect()))
+
+
 def brute_seats(votes, seats):
     got = Counter()
     for _ in range(seats):

@@ -3,7 +3,7 @@
 Steps, all DataFrame expressions:
 
 1. Word counts; sizes of sources and of (source, shard) cells, where the shard comes from a seeded hash of
-   doc_id, so a source with a third of all rows is spread over all shards.
+   id and text, so a source with a third of all rows is spread over all shards.
 2. Targets: ``share`` times all words, dealt by weight; a source stops at ``max_epochs`` times its size and the
    excess goes to the others by weight (water-filling, solved in closed form over the sources' table).
 3. Blocks of equal length are dealt to the sources by the highest quotients target / (2 k + 1), and each source's blocks
@@ -11,8 +11,11 @@ Steps, all DataFrame expressions:
 4. Each cell lines its documents up in a seeded order, cuts the line into blocks and takes its quota of blocks,
    going round at most ``max_epochs`` times; a document gets the words of the blocks that cover it.
 
-Cases: null text has size 0; null source is a source of its own, last; null doc_id hashes like any value; repeated
-rows each count and may differ by a block's edge only; an empty table gives an empty result; other columns of the
+Sources are a small table, one row each, that windows without keys run over: some million of them fit the one task.
+A cell takes at most ``max_epochs`` times its words, so a source may miss its target by half a block for each shard.
+
+Cases: null text has size 0; null source is a source of its own, last; rows are dealt to shards by id and text, so rows
+without id or with one id are spread; repeated rows each count and may differ by a block's edge only; an empty table gives an empty result; other columns of the
 input are ignored, whatever their names.
 """
 
@@ -73,10 +76,10 @@ def sainte_lague(votes: DataFrame, key: list[str], vote: str, seats: str, within
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """documents (doc_id, text, source) -> doc_id, size, source, shard, source_size, target, quota, block, taken."""
-    sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", "source", F.xxhash64("text").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     rows = sized.count()
     shards = max(1, -(-rows // shard_docs))
-    placed = sized.withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("order"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("shard")), F.lit(shards)).cast("int"))
+    placed = sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "h", F.lit("order"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h", F.lit("shard")), F.lit(shards)).cast("int"))
     # the cells are shards times sources: a small table, written once
     cells = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, max_epochs)
@@ -88,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     targets = targets.select("source", "source_size", "target", "block", F.col("quota").alias("source_quota"))
     c = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "shard", "cell_size", "source_size", "target", "block", "source_quota")
     c = materialize(sainte_lague(c, ["source", "shard"], "cell_size", "source_quota", ("source",)), "mix-quotas")
-    line = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lined = placed.withColumn("end", F.sum("size").over(line))
     d = lined.alias("d").join(c.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
     words = F.least(F.col("quota") * F.col("block"), F.col("cell_size") * F.lit(max_epochs))
