@@ -91,6 +91,31 @@ def test_trie_join_is_complete_at_any_budget():
                 assert len(got) == len(want) and {(min(p), max(p)) for p in got} == want
 
 
+def test_hot_keys_are_joined_without_a_shuffle(spark):
+    from typoforge.llm.common import join_spread
+
+    rows = spark.createDataFrame([(k % 5 if k < 900 else k, f"v{k}") for k in range(1000)] + [(None, "none")], "k long, v string")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "concat('t', k) AS t")
+    got = join_spread(rows, table, "k", "n", 1001)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table.drop("n"), "k").collect())) and got.count() == 1000
+
+
+def test_clusters_must_name_a_shared_folder():
+    import pytest
+
+    from typoforge.llm.common import shared_dir
+
+    class Spark:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "local-cluster[3,2,1024]"
+
+    with pytest.raises(ValueError):
+        shared_dir(Spark)
+
+
 def brute_removed(rows):
     seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None}, key=lambda r: r[0]):
@@ -171,6 +196,17 @@ def test_queue_keeps_order_on_disk():
     q.close()
 
 
+def test_links_of_a_cluster_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    for m, swap in ((2, 0.05), (40, 0.08), (150, 0.09), (90, 0.3)):
+        base = rng.integers(1, 1 << 40, 120)
+        sets = [np.unique(np.where(rng.random(120) < swap * rng.random(), rng.integers(1, 1 << 40, 120), base)) for _ in range(m)]
+        keys = rng.permutation(10 * m)[:m]
+        a, b = simhash_docs.cluster_links(keys, sets)
+        like = [(int(keys[i]), int(keys[j])) for i in range(m) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        assert len(a) < m and brute_components(keys.tolist(), zip(a.tolist(), b.tolist(), strict=True)) == brute_components(keys.tolist(), like)
+
+
 def test_pipeline_links_all_pairs_by_jaccard(spark, monkeypatch):
     import corpus_pipeline
     from tests.llm.cases import words
@@ -198,9 +234,13 @@ def test_pipeline_links_all_pairs_by_jaccard(spark, monkeypatch):
     pairs = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b])]
     far = [(a, b) for a, b in pairs if (brute_fp(dict(more).get(a, "")) ^ brute_fp(dict(more).get(b, ""))).bit_count() > 3]
     assert len(far) > 50
-    whole = simhash_docs.open_pairs
-    monkeypatch.setattr(simhash_docs, "open_pairs", lambda *a: whole(*a, bucket=4))  # every bucket in parts
-    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    want = sorted(set(brute_components(sets, pairs).values()))
+    whole, links = simhash_docs.candidates, simhash_docs.links
+    for bucket, part in ((1 << 15, 4_000_000), (4, 300)):  # the second ones: many buckets and clusters in parts
+        monkeypatch.setattr(simhash_docs, "candidates", lambda rows, b=bucket: whole(rows, b))
+        monkeypatch.setattr(simhash_docs, "links", lambda *a, p=part: links(*a, p))
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert sorted(r[0] for r in got.where("doc_id is not null").collect()) == want
     assert got.columns == docs.columns
     assert sorted(r[0] for r in got.where("doc_id is not null").collect()) == sorted(set(brute_components(sets, pairs).values()))
     assert got.where("doc_id is null").count() == 1

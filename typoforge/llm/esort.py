@@ -17,6 +17,8 @@ import numpy as np
 
 CAP = 100
 SEPARATOR, SHIFT = 1, 2
+#: Bytes that a queue holds in memory; a shard of 4 MB has some 20 MB of tuples.
+QUEUE = 8 << 20
 
 
 class BucketQueue:
@@ -211,7 +213,7 @@ def _recurse(names: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
-def suffix_array(text: np.ndarray, limit: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, limit: int = QUEUE) -> tuple[np.ndarray, np.ndarray]:
     """text: uint8, ends with its only 0 -> (positions in order, common prefix with the one before, up to CAP)."""
     n = len(text)
     kind = np.int32 if n < 2**31 else np.int64

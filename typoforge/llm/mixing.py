@@ -31,7 +31,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 6
 #: Documents a shard should hold on average: a shard is sorted in one task.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 4_000
 #: Blocks are at most so long, and shorter where a cell of mean size would get under BLOCKS_PER_CELL of them.
 MAX_BLOCK, BLOCKS_PER_CELL = 256, 400
 

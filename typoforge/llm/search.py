@@ -8,8 +8,9 @@ blocks of ``BLOCK`` documents end; each piece has its largest part of a score an
 
 Search: the maxima of a block's pieces, times idf, add up to the bound of its documents. Pivots are the blocks of the
 highest bounds, ``WAVE`` at first: cursors go to their postings, whatever lies between is skipped, and the k-th best score
-rises. Then come the blocks whose bounds still reach it, four times as many, and so on until none does. Nothing else is
-dropped, so the result is exact.
+rises. Then come the blocks whose bounds still reach it, four times as many, and so on until none does; where most blocks
+do, as for queries of hundreds of words, the lists are read whole, which costs less than skipping. Nothing else is dropped,
+so the result is exact.
 
 Queries are rows of a table, packed in blocks of some hundred with one list of their words; equal queries are neighbours
 and searched for once. Each block goes to every shard, one after the other (a query set against all rows, in blocks): a
@@ -34,6 +35,8 @@ from .substring import pack, unpack
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, WAVE = 64, 8
+#: Where more than this part of the blocks are still pivots, lists are read whole.
+DENSE = 0.4
 #: Documents and words that a shard has at most, on average.
 SHARD_DOCS, SHARD_WORDS = 16_000, 12_000_000
 #: Queries and words of a block of queries.
@@ -127,6 +130,7 @@ class Index:
         order = np.lexsort((doc, word))
         self.doc, word, count = doc[order], word[order], count[order]
         del doc, order
+        self.offset = (self.doc % BLOCK).astype(np.int32)
         self.part = count * (K1 + 1) / (count + norm[self.doc])  # what idf is multiplied by
         block = self.doc // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])))) if len(word) else np.zeros(0, np.int64)
@@ -147,23 +151,35 @@ class Index:
         live = np.argsort(-bound, kind="stable")
         live = live[bound[live] > 0]
         best_id, best, take = np.zeros(0, np.int64), np.zeros(0), WAVE
-        slot = np.full(self.blocks, -1, np.int64)
+        slot = np.full(self.blocks, -1, np.int32)
         while len(live):
-            # pivots: the blocks of the highest bounds; cursors go to their postings and skip the others
-            now, live = live[:take], live[take:]
-            slot[now] = np.arange(len(now)) * BLOCK
-            at = slot[block]
-            on = np.flatnonzero(at >= 0)
-            e = entry[on]
-            size = self.start[e + 1] - self.start[e]
-            post = _spread(self.start[e], size)
-            where = np.repeat(at[on], size) + self.doc[post] % BLOCK
-            score = np.bincount(where, weights=self.part[post] * np.repeat(weight[on], size), minlength=len(now) * BLOCK)
-            slot[now] = -1
-            least = best[-1] if len(best) == top else 0.0
-            hit = np.flatnonzero((score > 0) & (score >= least))
-            ids = self.id[now[hit // BLOCK] * BLOCK + hit % BLOCK]
-            best_id, best = np.concatenate((best_id, ids)), np.concatenate((best, score[hit]))
+            if take > WAVE and len(live) > self.blocks * DENSE:
+                # most blocks are pivots: whole lists are read in a row, which costs less than skipping
+                rank, score = self._whole(query, idf)
+                open_ = np.zeros(self.blocks, bool)
+                open_[live] = True
+                keep = (score > 0) & open_[rank // BLOCK]
+                rank, score, live = rank[keep], score[keep], live[:0]
+            else:
+                # pivots: the blocks of the highest bounds; cursors go to their postings and skip the others
+                now, live = live[:take], live[take:]
+                slot[now] = np.arange(len(now), dtype=np.int32) * BLOCK
+                at = slot[block]
+                on = np.flatnonzero(at >= 0)
+                e = entry[on]
+                size = self.start[e + 1] - self.start[e]
+                post = _spread(self.start[e], size)
+                score = np.bincount(np.repeat(at[on], size) + self.offset[post], weights=self.part[post] * np.repeat(weight[on], size), minlength=len(now) * BLOCK)
+                slot[now] = -1
+                hit = np.flatnonzero(score > 0)
+                rank, score = now[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
+            if len(best) == top:
+                keep = score >= best[-1]
+                rank, score = rank[keep], score[keep]
+            elif len(score) > top:  # the best and all ties of the last of them
+                keep = score >= np.partition(score, len(score) - top)[len(score) - top]
+                rank, score = rank[keep], score[keep]
+            best_id, best = np.concatenate((best_id, self.id[rank])), np.concatenate((best, score))
             order = np.lexsort((best_id, -best))[:top]
             best_id, best = best_id[order], best[order]
             if len(best) == top:
@@ -171,6 +187,13 @@ class Index:
             take *= 4
         return best_id, best
 
+    def _whole(self, query: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of all documents."""
+        spans = list(zip(self.start[self.cut[query]].tolist(), self.start[self.cut[query + 1]].tolist(), strict=True))
+        size = [b - a for a, b in spans]
+        docs, parts = np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.part[a:b] for a, b in spans])
+        return np.arange(len(self.id)), np.bincount(docs, weights=parts * np.repeat(idf, size), minlength=len(self.id))
+
 
 def _search(n: int, avgdl: float, top: int):
     def run(batches):

@@ -319,7 +319,7 @@ def _cut(hot: np.ndarray, shards: int):
     return run
 
 
-def repeats(ids: np.ndarray, hs: np.ndarray, start: np.ndarray, windows: np.ndarray, raw: list[bytes], limit: int = 64 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(ids: np.ndarray, hs: np.ndarray, start: np.ndarray, windows: np.ndarray, raw: list[bytes], limit: int = esort.QUEUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments -> (segment, from, to): runs of bytes covered by windows that also start earlier in some segment."""
     from xxhash import xxh3_128_digest
 
