@@ -41,7 +41,7 @@ def small(spark, **config):
     text = " ".join(["the"] * 60 + ["their"] * 40 + ["other"] * 30 + ["and"] * 50 + ["android"] * 20 + ["train"] * 12 + ["containing"] * 8 + ["maintain"] * 7)
     docs = spark.createDataFrame([("en", text), ("de", "nicht die der"), (None, None)], "lang string, text string")
     bench = spark.createDataFrame([("hello hello hello hello world",)], "text string")
-    return Engine(spark, docs, bench, Config(top_n=10, **config))
+    return Engine(spark, docs, bench, Config(**{"top_n": 10, "platform": "qmk", "max_corrections": 500, "typo_freq_threshold": 3} | config))
 
 
 def test_rules_on_a_small_text(spark):
@@ -62,7 +62,7 @@ def test_rules_on_a_small_text(spark):
 def test_long_typos_are_found_inside_longer_words(spark):
     long = "extraordinarily"
     docs = spark.createDataFrame([("en", " ".join([f"un{long[:-1]}", f"{long[:-1]}ness", "other"] * 6))], "lang string, text string")
-    e = Engine(spark, docs, spark.createDataFrame([(" ".join([long] * 4),)], "text string"), Config(top_n=5))
+    e = Engine(spark, docs, spark.createDataFrame([(" ".join([long] * 4),)], "text string"), Config(top_n=5, platform="qmk", max_corrections=500, typo_freq_threshold=3))
     flags = {r["typo"]: r.asDict() for r in e.flags.where("length(typo) > 12").collect()}
     valid, words = ({r["word"] for r in x.collect()} for x in (e.valid, e.words))
     assert flags
@@ -149,7 +149,115 @@ def test_config_and_platforms(tmp_path):
     with pytest.raises(ValueError):
         platform("none such")
     register_platform("plain", platform("espanso"))
-    assert platform("plain").direction == "ltr"
+    assert platform("plain").direction == "ltr" and Config(platform="plain").platform == "plain"
+    with pytest.raises(ValueError):
+        Config(platform="none such")
+    with pytest.raises(ValueError):
+        Config(platform="qmk")
+    plain = Config()
+    assert (plain.top_n, plain.max_corrections, plain.max_entries_per_file, plain.typo_freq_threshold, plain.freq_ratio, plain.platform) == (None, None, 500, 0.0, 10.0, "espanso")
+    assert Config(freq_ratio=2.5).freq_ratio == 2.5
     p = tmp_path / "c.json"
     p.write_text('{"top_n": 7, "min_typo_length": 5}')
     assert Config.load(str(p), top_n=9).top_n == 9 and Config.load(str(p)).min_typo_length == 5
+
+
+def test_files_of_equal_names_are_told_apart(spark, tmp_path):
+    rules = [(f"t{i:03}", "word", "none") for i in range(120)] + [(f"x{i}", "wore", "left") for i in range(3)] + [('q"\\', "é\n", "both")]
+    df = spark.createDataFrame(rules, "typo string, word string, boundary string")
+    names = [r["file"] for r in sinks.chunks(df, 50).collect()]
+    assert len(names) == len(set(names)) == 4
+    files = sinks.write_espanso(df, str(tmp_path / "y"), 50)
+    assert sorted(files) == sorted(names) and not list((tmp_path / "y").glob(".*"))
+    text = "".join((tmp_path / "y" / f).read_text() for f in files)
+    assert text.count("trigger:") == 124 and '  - trigger: "q\\"\\\\"\n    replace: "é\\n"\n    propagate_case: true\n    word: true\n' in text
+
+
+def test_all_words_mode(spark):
+    e = small(spark, top_n=None)
+    assert {r["word"] for r in e.source.collect()} == {"the", "their", "other", "and", "android", "train", "containing", "maintain", "hello"}
+    assert {r["word"] for r in small(spark, top_n=None, max_word_length=5).source.collect()} == {"the", "their", "other", "and", "train", "hello"}
+
+
+def test_corruption_next_to_marks(spark):
+    from typoforge.operators import ngrams as N
+
+    words = ["don't", "rock-ish", "plain", "x"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for side in ("prefix", "suffix"):
+        got = {r["gram"] for r in N.affixes(N.parts(df, side), side, False).collect()}
+        want = set()
+        for w in words:
+            for i in range(len(w)):
+                for k in range(i + 1, len(w) + 1):
+                    edge = i == 0 or not w[i - 1].isalpha() if side == "prefix" else k == len(w) or not w[k].isalpha()
+                    if edge:
+                        want.add(w[i:k])
+        assert got == want
+
+
+def test_passes_can_be_left_out_and_added(spark):
+    from typoforge.plans import reports as R
+    from typoforge.plans.passes import PASSES, Pass
+
+    e = small(spark)
+    rules = lambda x: {tuple(r) for r in x.final.collect()}
+    none = Engine(e.spark, e.documents, e.benchmark, e.config, passes=())
+    assert rules(none) == {tuple(r) for r in none.rules.collect()} and none.passed[1].count() == 0
+    short = Pass("no_short", lambda e, r: (r.where("length(typo) > 3"), r.where("length(typo) <= 3").selectExpr("*", "'short' AS reason", "CAST(NULL AS STRING) AS blocker")))
+    more = Engine(e.spark, e.documents, e.benchmark, e.config, passes=(*PASSES, short))
+    assert rules(more) == {r for r in rules(e) if len(r[0]) > 3} != rules(e)
+    assert more.graveyard.where("pass = 'no_short'").count() == sum(len(r[0]) <= 3 for r in rules(e))
+    assert R.history(more).where("pass = 'no_short'").select("pass_no").distinct().collect()[0][0] == 6
+    turned = Engine(e.spark, e.documents, e.benchmark, e.config, passes=PASSES[::-1])
+    texts = [(":" if b in ("left", "both") else "") + t + (":" if b in ("right", "both") else "") for t, _, b in rules(turned)]
+    assert not [1 for a in texts for b in texts if a != b and a in b]
+
+
+def test_tracing(spark):
+    from typoforge.plans import reports as R
+
+    e = small(spark, debug_words=("The",), debug_typos=("adn*", "*zz"))
+    all_ = {tuple(r) for r in e.corrections.select(*KEY).collect()}
+    assert {tuple(r)[:3] for r in R.debug_corrections(e).select(*KEY).collect()} == {r for r in all_ if r[1] == "the" or r[0].startswith("adn")}
+    assert {r["word"] for r in R.lifecycle(e, "words").collect()} == {"the"}
+    assert all(r["typo"].startswith("adn") for r in R.lifecycle(e, "typos").collect())
+    with pytest.raises(ValueError):
+        R.lifecycle(e, "none such")
+
+
+def test_reports_of_runs_do_not_meet(spark, tmp_path):
+    from datetime import datetime
+
+    from typoforge.plans import reports as R
+
+    e = small(spark, debug_words=("the",))
+    a = R.write_reports(e, str(tmp_path), "qmk", {"solver": 2.0}, datetime(2024, 1, 2, 3, 4, 5))
+    assert all(x.startswith(f"{tmp_path}/2024-01-02_03-04-05_qmk/") for x in a) and len(a) == len(set(a)) == 18
+    assert spark.read.option("header", True).csv(f"{tmp_path}/2024-01-02_03-04-05_qmk/times").count() == 2
+    n = spark.read.option("header", True).csv(f"{tmp_path}/2024-01-02_03-04-05_qmk/ranking_list").count()
+    assert n == e.ranked_rules.count() > 0
+
+
+def test_command_line(spark, tmp_path, caplog):
+    from typoforge import cli
+
+    e = small(spark)
+    e.documents.write.parquet(f"{tmp_path}/d.parquet")
+    e.benchmark.write.parquet(f"{tmp_path}/b.parquet")
+    base = ["--documents", f"{tmp_path}/d.parquet", "--benchmark", f"{tmp_path}/b.parquet"]
+    args = cli.create_parser().parse_args([*base, "--freq-ratio", "2.5", "--all-words", "--top-n", "3", "--debug-words", "a, b"])
+    c = cli.settings(args)
+    assert (c.freq_ratio, c.top_n, c.debug_words, c.platform) == (2.5, None, ("a", "b"), "espanso")
+    assert cli.main([*base, "--output", f"{tmp_path}/out", "--max-iterations", "1", "--log-file", f"{tmp_path}/log", "--typo-freq-threshold", "3"]) == 0
+    assert list((tmp_path / "out").glob("*.yml")) and "settled" in (tmp_path / "log").read_text()
+    assert cli.main([*base, "--include", f"{tmp_path}/none.txt"]) == 1
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\n")
+    assert cli.main([*base, "--include", f"{tmp_path}/bad.txt"]) == 1
+
+
+def test_names():
+    from typoforge.functions.names import human_time, safe_name
+
+    assert [human_time(x) for x in (0.0123, 2.34, 125)] == ["12ms", "2.3s", "2m 5.0s"]
+    assert safe_name('a/b:*c"') == "a_b__c_" and safe_name("") == "_" and len(safe_name("x" * 300)) == 100

@@ -12,7 +12,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of the rows: ends the lineage and outlives executors. The folder is the cluster's, if it names one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="typoforge-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="typoforge-"))
     return df.checkpoint()
 
 

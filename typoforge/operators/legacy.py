@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BOUNDARIES, Config
+from ..config import BOUNDARIES, QUERY_CONFIG
 from ..functions import text as T
 from . import ngrams as N
 
-C = Config()
+C = QUERY_CONFIG
 PLACE = "CASE WHEN t.suffix THEN 'suffix' WHEN t.prefix THEN 'prefix' WHEN t.middle THEN 'middle' ELSE 'apart' END"
 
 
@@ -56,12 +56,12 @@ def groups(e) -> DataFrame:
     g = g.withColumn("rk", F.row_number().over(Window.partitionBy("typo", "boundary").orderBy(F.desc("freq"), "word")))
     at = lambda k, c: F.max(F.when(F.col("rk") == k, F.col(c)))
     g = g.groupBy("typo", "boundary").agg(F.count(F.lit(1)).alias("n_words"), at(1, "word").alias("word"), at(1, "freq").alias("f1"), at(2, "freq").alias("f2"))
-    return g.withColumn("accepted", (F.col("n_words") == 1) | (F.col("f2") == 0) | (F.col("f1") > C.freq_ratio * F.col("f2")))
+    return g.withColumn("accepted", (F.col("n_words") == 1) | (F.col("f2") == 0) | (F.col("f1") > e.config.freq_ratio * F.col("f2")))
 
 
-def short(e, least: int = C.min_typo_length + 1, min_word: int = C.min_word_length) -> DataFrame:
+def short(e) -> DataFrame:
     """Typos too short for their words, by the groups' rule."""
-    return e.pairs.where((F.length("typo") < least) & (F.length("word") > min_word))
+    return e.pairs.where((F.length("typo") <= e.config.min_typo_length) & (F.length("word") > e.config.min_word_length))
 
 
 def resolved(e) -> DataFrame:
@@ -73,11 +73,29 @@ def resolved(e) -> DataFrame:
     return g.select("typo", "word", "boundary", F.when(~F.col("accepted"), "ambiguous").when(F.col("s"), "short").when(F.col("x"), "excluded").otherwise("correction").alias("outcome"))
 
 
-def examples(e, most: int = 3) -> DataFrame:
-    """(typo, words): up to three validation words that start with the typo."""
-    a = N.affixes(e.valid, "prefix", True).select(F.col("gram").alias("typo"), "word").join(e.flags.where("v_start").select("typo"), "typo", "left_semi")
-    a = a.withColumn("rk", F.row_number().over(Window.partitionBy("typo").orderBy("word"))).where(F.col("rk") <= most)
-    return a.groupBy("typo").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+def examples(e, side: str = "prefix", most: int = 3) -> DataFrame:
+    """(typo, words): up to three words that start with the typo, end with it, or have it inside only; validation words
+    first, then source words, each by name."""
+
+    def among(words: DataFrame, tag: str, rank: int) -> DataFrame:
+        if side == "inside":
+            g = words.select("word", F.explode(F.expr("sequence(2, greatest(2, length(word) - 1))")).alias("i"))
+            g = g.select("word", "i", F.explode(F.expr("sequence(1, greatest(1, length(word) - i))")).alias("n")).where("i + n - 1 < length(word)")
+            g = g.select(F.expr("substring(word, i, n)").alias("typo"), "word").where("NOT startswith(word, typo) AND NOT endswith(word, typo)").distinct()
+            hit = e.flags.where(f"{tag}_sub")
+        else:
+            g = N.affixes(words, side, True).select(F.col("gram").alias("typo"), "word")
+            hit = e.flags.where(f"{tag}_start" if side == "prefix" else f"{tag}_end")
+        return g.join(hit.select("typo"), "typo", "left_semi").withColumn("from", F.lit(rank))
+
+    a = among(e.valid, "v", 0).unionByName(among(e.words.select("word"), "s", 1)).groupBy("typo", "word").agg(F.min("from").alias("from"))
+    a = a.withColumn("rk", F.row_number().over(Window.partitionBy("typo").orderBy("from", "word"))).where(F.col("rk") <= most)
+    return a.groupBy("typo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "word"))), lambda x: x["word"]), ",").alias("words"))
+
+
+def wrong_use(word: str, typo: str, by: str):
+    """What the rule typo -> by would make of another word that has the typo: at its start, else at its end, else inside."""
+    return F.when(F.expr(f"startswith({word}, {typo})"), T.replace_first(word, typo, by)).when(F.expr(f"endswith({word}, {typo})"), T.replace_last(word, typo, by)).otherwise(T.replace_first(word, typo, by))
 
 
 def _oracle():
@@ -103,8 +121,10 @@ def _sql() -> dict[str, str]:
     over = f"SELECT typo, word, CASE WHEN word IN (SELECT word FROM words WHERE is_user AND length(word) = 2) THEN 'both' ELSE boundary END AS boundary FROM ({chosen_sql})"
     group = f"SELECT *, n_words = 1 OR f2 = 0 OR f1 > {C.freq_ratio} * f2 AS accepted FROM (SELECT typo, boundary, count(*)::BIGINT AS n_words, max(word) FILTER (rk = 1) AS word, max(freq) FILTER (rk = 1) AS f1, max(freq) FILTER (rk = 2) AS f2 FROM (SELECT o.*, coalesce(freq, 0)::BIGINT AS freq, row_number() OVER (PARTITION BY typo, boundary ORDER BY coalesce(freq, 0) DESC, o.word) AS rk FROM ({over}) o LEFT JOIN lex ON lex.word = o.word) GROUP BY typo, boundary)"
     resolve = f"SELECT typo, word, boundary, CASE WHEN NOT accepted THEN 'ambiguous' WHEN length(typo) < {C.min_typo_length + 1} AND length(word) > {C.min_word_length} THEN 'short' WHEN EXISTS (SELECT 1 FROM typo_rules WHERE typo LIKE {O.like('typo_glob')} ESCAPE '!' AND word LIKE {O.like('word_glob')} ESCAPE '!' AND (required IS NULL OR required = boundary)) THEN 'excluded' ELSE 'correction' END AS outcome FROM ({group})"
-    example = "SELECT typo, string_agg(word, ',' ORDER BY word) AS words FROM (SELECT f.typo, v.word FROM (SELECT typo FROM flags WHERE v_start) f JOIN (SELECT word, left(word, unnest(range(1, length(word)))::INT) AS g FROM valid) v ON v.g = f.typo QUALIFY row_number() OVER (PARTITION BY f.typo ORDER BY v.word) <= 3) GROUP BY typo"
-    return {"CHOSEN_SQL": chosen_sql, "OVERRIDE_SQL": over, "GROUPS_SQL": group, "RESOLVE_SQL": resolve, "EXAMPLES_SQL": example}
+    tests = {"": "starts_with(w.word, t.typo)", "SUFFIX_": "suffix(w.word, t.typo)", "INSIDE_": "contains(w.word, t.typo) AND NOT starts_with(w.word, t.typo) AND NOT suffix(w.word, t.typo)"}
+    flag = {"": "start", "SUFFIX_": "end", "INSIDE_": "sub"}
+    example = {f"{k}EXAMPLES_SQL": f"SELECT typo, string_agg(word, ',' ORDER BY k) AS words FROM (SELECT t.typo, w.word, row_number() OVER (PARTITION BY t.typo ORDER BY w.o, w.word) AS k FROM (SELECT typo FROM flags WHERE v_{flag[k]} OR s_{flag[k]}) t JOIN (SELECT word, min(o) AS o FROM (SELECT word, 0 AS o FROM valid UNION ALL SELECT word, 1 FROM words) GROUP BY word) w ON w.word <> t.typo AND {test}) WHERE k <= 3 GROUP BY typo" for k, test in tests.items()}
+    return {"CHOSEN_SQL": chosen_sql, "OVERRIDE_SQL": over, "GROUPS_SQL": group, "RESOLVE_SQL": resolve, **example}
 
 
 def __getattr__(name: str) -> str:

@@ -25,6 +25,15 @@ def affixes(words: DataFrame, side: str, proper: bool) -> DataFrame:
     return s.select(F.expr("substring(word, 1, n)" if side == "prefix" else "substring(word, length(word) - n + 1, n)").alias("gram"), "word")
 
 
+def parts(words: DataFrame, side: str) -> DataFrame:
+    """(word): each word from its start and from behind each non-letter on; for suffixes to its end and to before each non-letter."""
+    cut = F.expr("sequence(1, greatest(length(word), 1))")
+    w = words.select("word", F.explode(cut).alias("i"))
+    if side == "prefix":
+        return w.where("i = 1 OR substring(word, i - 1, 1) RLIKE '[^A-Za-z]'").select(F.expr("substring(word, i)").alias("word")).distinct()
+    return w.where("i = length(word) OR substring(word, i + 1, 1) RLIKE '[^A-Za-z]'").select(F.expr("substring(word, 1, i)").alias("word")).distinct()
+
+
 def flags(typos: DataFrame, validation: DataFrame, source: DataFrame) -> DataFrame:
     """(typo) -> typo, v_start, v_end, v_sub, s_start, s_end, s_sub: stands at the start, end, anywhere of another word."""
     out, most = typos.select("typo").distinct(), longest(typos, "typo")
@@ -34,6 +43,13 @@ def flags(typos: DataFrame, validation: DataFrame, source: DataFrame) -> DataFra
     return out.select("typo", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("v_start", "v_end", "v_sub", "s_start", "s_end", "s_sub")])
 
 
+def contained(texts: DataFrame) -> DataFrame:
+    """(text) -> (text, longer): texts that stand inside longer ones, by an equi-join on all proper substrings."""
+    g = texts.select(F.col("text").alias("longer"), F.explode(F.expr("sequence(1, length(text))")).alias("i"))
+    g = g.select("longer", "i", F.explode(F.expr("sequence(1, length(longer) - i + 1)")).alias("n")).where("n < length(longer)")
+    return g.select("longer", F.expr("substring(longer, i, n)").alias("text")).distinct().join(texts, "text").select("text", "longer")
+
+
 def natural_boundary() -> Column:
     """The least restrictive safe boundary from the flags."""
     return F.expr("CASE WHEN NOT (v_sub OR s_sub) THEN 'none' WHEN v_start AND v_end THEN 'both' WHEN v_end THEN 'left' WHEN v_start THEN 'right' ELSE 'both' END")

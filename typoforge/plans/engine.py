@@ -7,12 +7,13 @@ that are broadcast are the fixed ones of the configuration (keys, boundary order
 
 from __future__ import annotations
 
+import copy
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ADJACENT, DEBUG_TYPOS, TYPO_RULES, WORD_RULES, Config, platform
+from ..config import ADJACENT, TYPO_RULES, WORD_RULES, Config, platform
 from ..functions import text as T
 from ..operators import ngrams as N
 from ..operators import typos as Y
@@ -24,10 +25,15 @@ ORDERS = {"none": ("none", "left", "right", "both"), "left": ("left", "both"), "
 #: The same for the rules of whole groups, by the typo's place in its word.
 TARGET_ORDERS = {"suffix": ("none", "right", "both"), "prefix": ("none", "left", "both"), "middle": ("none", "both"), "apart": ("none", "left", "right", "both")}
 KEY = ["typo", "word", "boundary"]
+#: Tables that hang on the rules before the passes.
+AFTER_RULES = ("rules", "conflict_edges", "unblocked", "blocked", "platform_pairs", "platform_decisions", "platform_removed", "passed", "final", "tiers", "scored", "ranked_rules", "graveyard", "_espanso", "_solved")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, documents: DataFrame, benchmark: DataFrame, config: Config | None = None, include: DataFrame | None = None, adjacency: DataFrame | None = None, rules: tuple[tuple[str, ...], tuple[str, ...]] = (WORD_RULES, TYPO_RULES)):
+    def __init__(self, spark: SparkSession, documents: DataFrame, benchmark: DataFrame, config: Config | None = None, include: DataFrame | None = None, adjacency: DataFrame | None = None, rules: tuple[tuple[str, ...], tuple[str, ...]] = (WORD_RULES, TYPO_RULES), passes: tuple | None = None):
+        from .passes import PASSES
+
+        self.passes = PASSES if passes is None else passes
         self.spark, self.documents, self.benchmark, self.config = spark, documents, benchmark, config or Config()
         self.given_include, self.given_adjacency, self.rules_given = include, adjacency, rules
 
@@ -58,8 +64,15 @@ class Engine:
     def _ruled_out(self, words: DataFrame) -> DataFrame:
         exact = self.word_rules.where("NOT contains(rule, '*')").select(F.col("rule").alias("word"))
         globs = self.word_rules.where("contains(rule, '*')").select("rule")
-        hit = words.join(F.broadcast(globs), T.glob_match("word", "rule")).select("word")
-        return words.join(F.broadcast(exact), "word", "left_semi").select("word").unionByName(hit).distinct()
+        near = self.small("word_rules")
+        hit = words.join(near(globs), T.glob_match("word", "rule")).select("word")
+        return words.join(near(exact), "word", "left_semi").select("word").unionByName(hit).distinct()
+
+    def small(self, table: str, most: int = 100_000):
+        """Broadcasts that table of the user's if it has few rows, else leaves the join to the planner."""
+        if f"_few_{table}" not in self.__dict__:
+            self.__dict__[f"_few_{table}"] = getattr(self, table).count() <= most
+        return F.broadcast if self.__dict__[f"_few_{table}"] else lambda df: df
 
     @cached_property
     def dictionary_words(self) -> DataFrame:
@@ -73,7 +86,12 @@ class Engine:
 
     @cached_property
     def source(self) -> DataFrame:
-        return top_words(self.lex, self.config.top_n, self.config.min_word_length, self.config.max_word_length)
+        """(word, freq, rnk); without ``top_n`` all validation words of fitting length, by name, unranked."""
+        c = self.config
+        if c.top_n is None:
+            every = self.valid.where(F.length("word").between(c.min_word_length, c.max_word_length)).join(self.lex, "word", "left")
+            return every.select("word", F.coalesce("freq", F.lit(0)).alias("freq"), F.lit(None).cast("int").alias("rnk"))
+        return top_words(self.lex, c.top_n, c.min_word_length, c.max_word_length)
 
     @cached_property
     def words(self) -> DataFrame:
@@ -153,7 +171,7 @@ class Engine:
     def excluded(self, corrections: DataFrame) -> DataFrame:
         """(typo, word, boundary) with the rules that match: -> typo, word, boundary, rule."""
         on = T.glob_match("typo", "typo_glob") & T.glob_match("word", "word_glob") & F.expr("required IS NULL OR required = boundary")
-        return corrections.join(F.broadcast(self.typo_rules), on).select(*KEY, "rule")
+        return corrections.join(self.small("typo_rules")(self.typo_rules), on).select(*KEY, "rule")
 
     @cached_property
     def tries(self) -> DataFrame:
@@ -225,7 +243,7 @@ class Engine:
         g = N.substrings(self.valid, N.longest(p, "tp")).select(F.col("gram").alias("tp"), F.col("is_prefix").alias("v_start"), F.col("is_suffix").alias("v_end"), F.lit(True).alias("v_sub"))
         p = p.join(g, "tp", "left").join(self.valid.select(F.col("word").alias("tp"), F.lit(True).alias("v_word")), "tp", "left")
         for name, side in (("rtl", "prefix"), ("ltr", "suffix")):
-            a = N.affixes(self.words.select("word"), side, False).select(F.col("gram").alias("tp")).distinct().withColumn(name, F.lit(True))
+            a = N.affixes(N.parts(self.words.select("word"), side), side, False).select(F.col("gram").alias("tp")).distinct().withColumn(name, F.lit(True))
             p = p.join(a, "tp", "left")
         return p.select("tp", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("v_word", "v_start", "v_end", "v_sub", "rtl", "ltr")])
 
@@ -366,9 +384,21 @@ class Engine:
 
     @cached_property
     def final(self) -> DataFrame:
-        """Rules after one pass of all steps."""
-        left = self.unblocked.join(self.platform_removed, KEY, "left_anti")
-        return cut(self.violations(left).where("reason IS NULL").select(*KEY))
+        """Rules after all passes."""
+        return cut(self.passed[0])
+
+    @cached_property
+    def passed(self) -> tuple[DataFrame, DataFrame]:
+        """(rules left, rules turned down by a pass): see :mod:`passes`."""
+        from .passes import run
+
+        return run(self, self.passes)
+
+    def given(self, **tables: DataFrame) -> Engine:
+        """An engine with some tables set and all that does not hang on rules taken over."""
+        o = copy.copy(self)
+        o.__dict__ = {k: v for k, v in self.__dict__.items() if k not in AFTER_RULES} | tables
+        return o
 
     # -- ranking ----------------------------------------------------------------------------------------------------
 
@@ -412,9 +442,7 @@ class Engine:
         parts = [
             self.rejected.select(*KEY, "reason", none.alias("blocker"), F.lit("candidate_selection").alias("pass")),
             self.pattern_rejects.select(F.col("tp").alias("typo"), F.col("wp").alias("word"), "boundary", F.lit("pattern_validation_failed").alias("reason"), F.col("reason").alias("blocker"), F.lit("pattern_generalization").alias("pass")),
-            self.blocked.select(*KEY, F.lit("blocked_by_conflict").alias("reason"), "blocker", F.lit("conflict_removal").alias("pass")),
-            self.platform_removed.select(*KEY, F.lit("platform_constraint").alias("reason"), none.alias("blocker"), F.lit("platform_substrings").alias("pass")),
-            self.violations(self.unblocked.join(self.platform_removed, KEY, "left_anti")).where("reason IS NOT NULL").select(*KEY, F.lit("platform_constraint").alias("reason"), F.col("reason").alias("blocker"), F.lit("platform_constraints").alias("pass")),
+            self.passed[1],
         ]
         out = parts[0]
         for p in parts[1:]:
@@ -423,7 +451,7 @@ class Engine:
 
     @cached_property
     def debug_rules(self) -> DataFrame:
-        p = self._rows([(p,) for p in DEBUG_TYPOS], "pattern string")
+        p = self._rows([(p,) for p in self.config.debug_typos], "pattern string")
         return p.select("pattern", T.marker_core("pattern").alias("glob"), T.marker_boundary("pattern").alias("scope"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from ..config import ADJACENT, DEBUG_TYPOS, TYPO_RULES, WORD_RULES, Config
+from ..config import ADJACENT, DEBUG_TYPOS, TYPO_RULES, WORD_RULES, QUERY_CONFIG
 from .engine import ORDERS, TARGET_ORDERS
 
-C = Config()
+C = QUERY_CONFIG
 
 
 def values(rows) -> str:

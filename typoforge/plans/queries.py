@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import QUERY_CONFIG
 from ..functions import text as T
 from ..operators import legacy as L
 from ..operators import ngrams as N
@@ -19,36 +19,56 @@ from . import sinks as S
 from .engine import KEY, Engine
 from .solver import solve
 
-C = Config()
+C = QUERY_CONFIG
 _engines: dict[tuple[str, str], Engine] = {}
 
 
+def reset() -> None:
+    """Forget all engines: the next query builds all that it needs."""
+    _engines.clear()
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """One engine for an application and a folder, so that queries share its checkpoints."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        _engines[key] = Engine(spark, read("documents"), read("benchmark"))
+        _engines[key] = Engine(spark, read("documents"), read("benchmark"), C)
     return _engines[key]
 
 
 def _espanso(e: Engine) -> Engine:
     """The engine's tables for the other platform: its own checks, pair removal and constraints."""
     if "_espanso" not in e.__dict__:
-        o = Engine(e.spark, e.documents, e.benchmark, replace(e.config, platform="espanso"), e.given_include, e.given_adjacency, e.rules_given)
+        o = Engine(e.spark, e.documents, e.benchmark, replace(e.config, platform="espanso"), e.given_include, e.given_adjacency, e.rules_given, e.passes)
         o.__dict__.update({k: getattr(e, k) for k in ("lex", "valid", "words", "pairs", "flags", "collisions", "tries", "corrections")})
         e.__dict__["_espanso"] = o
     return e.__dict__["_espanso"]
 
 
-# Lines of the example files.
-INCLUDE = ("# user words", "Hello", "", "  world ", "hello", "back\\slash", "ok")
-EXCLUDE = ("# rules", "xx*", " teh -> the ", "", "xx*", ":An* -> *")
-ADJACENCY = ("a -> qs", "bad line", "# c -> x", "b -> vn", "a -> w")
+# Lines of hand-written files, made of the lexicon so that there are some of each kind: comments, blank and repeated ones.
+_INCLUDE = "CASE freq % 5 WHEN 0 THEN concat('# ', word) WHEN 1 THEN concat('  ', upper(word), ' ') WHEN 2 THEN concat(word, chr(92)) WHEN 3 THEN '   ' ELSE word END"
+_EXCLUSION = "CASE freq % 4 WHEN 0 THEN concat('#', word) WHEN 1 THEN concat(' ', substring(word, 1, 3), '* ') WHEN 2 THEN concat(':', word, ' -> *') ELSE ' ' END"
+_ADJACENCY = "CASE freq % 4 WHEN 0 THEN concat('# ', word, ' -> x') WHEN 1 THEN concat(substring(word, 1, 1), ' -> ', word) WHEN 2 THEN concat(substring(word, 1, 1), '->', word) ELSE concat(substring(word, 2, 1), ' -> ', word, ' ') END"
+_numbered = "SELECT row_number() OVER (ORDER BY word) - 1 AS line_no, {} AS value FROM lex WHERE length(word) > 2"
+_INCLUDE_SQL, _EXCLUSION_SQL, _ADJACENCY_SQL = (_numbered.format(x) for x in (_INCLUDE, _EXCLUSION, _ADJACENCY))
+
+
+def _lines(e: Engine, value: str) -> DataFrame:
+    n = F.row_number().over(Window.orderBy("word")) - 1
+    return e.lex.where("length(word) > 2").select(n.alias("line_no"), F.expr(value).alias("value"))
+
 
+def _include_lines(e: Engine) -> DataFrame:
+    return _lines(e, _INCLUDE)
 
-def _lines(e: Engine, lines) -> DataFrame:
-    return e.spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
+
+def _exclusion_lines(e: Engine) -> DataFrame:
+    return _lines(e, _EXCLUSION)
+
+
+def _adjacency_lines(e: Engine) -> DataFrame:
+    return _lines(e, _ADJACENCY)
 
 
 def _b(*cols: str):
@@ -59,15 +79,22 @@ def _b(*cols: str):
 _K = ", ".join(KEY)
 
 
+def _wrong_use(e: Engine) -> DataFrame:
+    """(typo, word, victim, result): the first validation word that starts or ends with the typo, as the rule would spoil it."""
+    g = N.affixes(e.valid, "prefix", True).unionByName(N.affixes(e.valid, "suffix", True)).select(F.col("gram").alias("typo"), F.col("word").alias("victim"))
+    v = e.pairs.join(g, "typo").groupBy("typo", "word").agg(F.min("victim").alias("victim"))
+    return v.withColumn("result", L.wrong_use("victim", "typo", "word"))
+
+
 def _marks(e: Engine) -> DataFrame:
     return e._rows([(p,) for p in (":", ":a", "a:", ":a:", "a", "::", "")], "pattern string")
 
 
 QUERIES: dict[str, tuple] = {
     # word lists
-    "src_include_parse": (lambda e: files.parse_include(_lines(e, INCLUDE)).select(*_b("line_no"), "word"), "SELECT n::BIGINT AS line_no, w AS word FROM (VALUES (1, 'hello'), (3, 'world'), (4, 'hello'), (6, 'ok')) t(n, w)"),
-    "src_exclusions_parse": (lambda e: files.parse_exclusions(_lines(e, EXCLUDE)), "SELECT r AS rule FROM (VALUES ('xx*'), ('teh -> the'), (':An* -> *')) t(r)"),
-    "src_adjacency": (lambda e: files.parse_adjacency(_lines(e, ADJACENCY)).select("key", *_b("pos"), "neighbor"), "SELECT k AS key, p::BIGINT AS pos, n AS neighbor FROM (VALUES ('a', 0, 'w'), ('b', 0, 'v'), ('b', 1, 'n')) t(k, p, n)"),
+    "src_include_parse": (lambda e: files.parse_include(_include_lines(e)).select(*_b("line_no"), "word"), f"SELECT line_no, lower(trim(value)) AS word FROM ({_INCLUDE_SQL}) WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#') AND NOT contains(value, chr(92))"),
+    "src_exclusions_parse": (lambda e: files.parse_exclusions(_exclusion_lines(e)), f"SELECT DISTINCT trim(value) AS rule FROM ({_EXCLUSION_SQL}) WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')"),
+    "src_adjacency": (lambda e: files.parse_adjacency(_adjacency_lines(e)).select("key", *_b("pos"), "neighbor"), f"SELECT key, (i - 1)::BIGINT AS pos, near[i] AS neighbor FROM (SELECT key, near, unnest(range(1, length(near) + 1))::INT AS i FROM (SELECT trim(split_part(value, ' -> ', 1)) AS key, arg_max(trim(substring(value, instr(value, ' -> ') + 4)), line_no) AS near FROM ({_ADJACENCY_SQL}) WHERE NOT starts_with(value, '#') AND contains(value, ' -> ') GROUP BY 1))"),
     "lex_tokenize_freq": (lambda e: e.lex, "SELECT word, freq FROM lex"),
     "lex_validation": (lambda e: e.valid, "SELECT word FROM valid"),
     "lex_topn_source": (lambda e: e.source.select("word", "freq", *_b("rnk")), "SELECT word, freq, rnk FROM src"),
@@ -77,6 +104,8 @@ QUERIES: dict[str, tuple] = {
     "fn_parse_boundary": (lambda e: _marks(e).select("pattern", T.marker_core("pattern").alias("core"), T.marker_boundary("pattern").alias("boundary")), f"SELECT pattern, {O.core('pattern')} AS core, {O.scope('pattern')} AS boundary FROM (VALUES {O.values([(p,) for p in (':', ':a', 'a:', ':a:', 'a', '::', '')])}) t(pattern)"),
     "fn_boundary_display": (lambda e: e.corrections.select("boundary").distinct().select("boundary", F.upper("boundary").alias("name"), T.boundary_display("boundary").alias("display")), "SELECT DISTINCT boundary, upper(boundary) AS name, CASE WHEN boundary = 'none' THEN '' ELSE '(' || upper(boundary) || ' boundary)' END AS display FROM corrections"),
     "fn_replace_first_last": (lambda e: e.words.select("word", F.expr("substring(word, 1, 1)").alias("s")).select("word", T.replace_first("word", "s", "'__'").alias("first"), T.replace_last("word", "s", "'__'").alias("last")), f"SELECT word, {O.first_spliced('word', 'left(word, 1)', chr(39) + '__' + chr(39))} AS first, {O.last_spliced('word', 'left(word, 1)', chr(39) + '__' + chr(39))} AS last FROM words"),
+    "fn_glob_match": (lambda e: e.words.join(F.broadcast(e.word_rules), T.glob_match("word", "rule")).select("word", "rule").unionByName(e.lex.where("freq < 20").join(F.broadcast(e.word_rules), T.glob_match("word", "rule")).select("word", "rule")).distinct(), "SELECT DISTINCT word, rule FROM (SELECT word FROM words UNION SELECT word FROM lex WHERE freq < 20), word_rules WHERE regexp_full_match(word, replace(rule, '*', '.*'))"),
+    "fn_proper_substring": (lambda e: e.pairs.select("typo", "word", F.expr("contains(word, typo) AND word <> typo").alias("inside")), "SELECT typo, word, strpos(word, typo) > 0 AND length(word) > length(typo) AS inside FROM pairs"),
     "fmt_qmk": (lambda e: e.corrections.select(*KEY, T.qmk_text("typo", "boundary").alias("text")), f"SELECT {_K}, {O.qmk('typo', 'boundary')} AS text FROM corrections"),
     "agg_strictest_boundary": (lambda e: L.strictest(e.corrections, "word"), "SELECT word, CASE WHEN bool_or(boundary = 'both') OR (bool_or(boundary = 'left') AND bool_or(boundary = 'right')) THEN 'both' WHEN bool_or(boundary = 'left') THEN 'left' WHEN bool_or(boundary = 'right') THEN 'right' ELSE 'none' END AS boundary FROM corrections GROUP BY word"),
     # generators
@@ -99,6 +128,7 @@ QUERIES: dict[str, tuple] = {
     "excl_rule": (lambda e: e.excluded(e.tries.select(*KEY)).groupBy(*KEY).agg(F.min("rule").alias("rule")), f"SELECT {_K}, min(rule) AS rule FROM tries, typo_rules WHERE typo LIKE {O.like('typo_glob')} ESCAPE '!' AND word LIKE {O.like('word_glob')} ESCAPE '!' AND (required IS NULL OR required = boundary) GROUP BY ALL"),
     # substring joins
     "idx_substrings": (lambda e: N.substrings(e.valid, C.max_ngram), f"SELECT g AS gram, bool_or(i = 1) AS is_prefix, bool_or(i + n - 1 = length(word)) AS is_suffix FROM (SELECT word, i, n, substring(word, i, n) AS g FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM valid), range(1, {C.max_ngram + 1}) r(n) WHERE n < length(word) AND i + n - 1 <= length(word)) GROUP BY g"),
+    "idx_containing": (lambda e: N.contained(e.corrections.select(F.col("typo").alias("text")).distinct()), "SELECT a.typo AS text, b.typo AS longer FROM (SELECT DISTINCT typo FROM corrections) a, (SELECT DISTINCT typo FROM corrections) b WHERE a.typo <> b.typo AND contains(b.typo, a.typo)"),
     "bnd_prefix": (lambda e: e.flags.where("v_start").select("typo"), "SELECT typo FROM flags WHERE v_start"),
     "bnd_suffix": (lambda e: e.flags.where("v_end").select("typo"), "SELECT typo FROM flags WHERE v_end"),
     "bnd_substring": (lambda e: e.flags.where("v_sub OR s_sub").select("typo"), "SELECT typo FROM flags WHERE v_sub OR s_sub"),
@@ -113,6 +143,7 @@ QUERIES: dict[str, tuple] = {
     "sel_length_gate": (lambda e: e.pairs.where(f"NOT (length(word) <= {C.min_typo_length} AND length(typo) < {C.min_typo_length})"), f"SELECT typo, word FROM pairs WHERE length(word) > {C.min_typo_length} OR length(typo) >= {C.min_typo_length}"),
     "sel_candidates": (lambda e: e.corrections, f"SELECT {_K} FROM corrections"),
     "sel_rejected": (lambda e: e.rejected, f"SELECT {_K}, reason FROM rejected"),
+    "sel_by_boundary": (lambda e: e.corrections.groupBy("typo").agg(F.countDistinct("boundary").alias("boundaries"), F.count(F.lit(1)).alias("words")), "SELECT typo, count(DISTINCT boundary)::BIGINT AS boundaries, count(*)::BIGINT AS words FROM corrections GROUP BY typo"),
     "sel_worklist": (lambda e: e.pairs.select("typo").distinct().join(e.unblocked.select("typo"), "typo", "left_anti"), "SELECT DISTINCT typo FROM pairs WHERE typo NOT IN (SELECT typo FROM unblocked)"),
     # the interface of whole groups
     "legacy_bnd_order": (lambda e: L.target_orders(e).select("typo", "word", "place", *_b("ord"), "boundary"), f"SELECT typo, word, place, ord::BIGINT AS ord, boundary FROM (SELECT *, {L.place_sql()} AS place FROM pairs) JOIN target_orders USING (place)"),
@@ -122,9 +153,13 @@ QUERIES: dict[str, tuple] = {
     "legacy_user_override": (lambda e: L.overridden(e), L.OVERRIDE_SQL),
     "legacy_resolve": (lambda e: L.resolved(e), L.RESOLVE_SQL),
     "dbg_examples": (lambda e: L.examples(e), L.EXAMPLES_SQL),
+    "dbg_examples_suffix": (lambda e: L.examples(e, "suffix"), L.SUFFIX_EXAMPLES_SQL),
+    "dbg_examples_inside": (lambda e: L.examples(e, "inside"), L.INSIDE_EXAMPLES_SQL),
+    "dbg_wrong_use": (lambda e: _wrong_use(e), "SELECT t.typo, t.word, min(v.word) AS victim, min_by(CASE WHEN starts_with(v.word, t.typo) THEN t.word || substring(v.word, length(t.typo) + 1) ELSE left(v.word, length(v.word) - length(t.typo)) || t.word END, v.word) AS result FROM pairs t JOIN valid v ON v.word <> t.typo AND (starts_with(v.word, t.typo) OR suffix(v.word, t.typo)) GROUP BY t.typo, t.word"),
     # patterns
     "pat_extract_suffix": (lambda e: e.extracted("suffix"), "SELECT tp, wp, boundary, typo, word FROM ext_suffix"),
     "pat_extract_prefix": (lambda e: e.extracted("prefix"), "SELECT tp, wp, boundary, typo, word FROM ext_prefix"),
+    "pat_eligible": (lambda e: e.corrections.select(*KEY, F.expr("boundary IN ('right', 'none') AND length(typo) = length(word) AND length(typo) >= 4").alias("suffix"), F.expr("boundary IN ('left', 'none') AND length(typo) = length(word) AND length(typo) >= 4").alias("prefix")), f"SELECT {_K}, boundary <> 'left' AND boundary <> 'both' AND length(typo) = length(word) AND length(typo) > 3 AS suffix, boundary <> 'right' AND boundary <> 'both' AND length(typo) = length(word) AND length(typo) > 3 AS prefix FROM corrections"),
     "pat_candidates": (lambda e: e.occurrences.groupBy("tp", "wp", "boundary").agg(F.count(F.lit(1)).alias("n")), "SELECT tp, wp, boundary, count(*)::BIGINT AS n FROM occ GROUP BY ALL"),
     "pat_merged": (lambda e: e.occurrences, "SELECT tp, wp, boundary, typo, word FROM occ"),
     "pat_min_len": (lambda e: e.pattern_checks.where("reason = 'too_short'").select("tp", "wp", "boundary"), f"SELECT tp, wp, boundary FROM checks WHERE length(tp) < {C.min_typo_length}"),
@@ -140,6 +175,8 @@ QUERIES: dict[str, tuple] = {
     "pat_rejected": (lambda e: e.pattern_rejects, "SELECT tp, wp, boundary, n, reason FROM pat_rejects"),
     "pass_patterns": (lambda e: e.rules, f"SELECT {_K} FROM rules"),
     "state_replacements": (lambda e: e.replacements, "SELECT pattern_typo, pattern_word, boundary, typo, word FROM repl"),
+    "state_covered": (lambda e: e.pairs.select("typo").distinct().join(e.rules.select("typo").distinct().withColumn("covered", F.lit(True)), "typo", "left").select("typo", F.coalesce("covered", F.lit(False)).alias("covered")), "SELECT DISTINCT typo, typo IN (SELECT typo FROM rules) AS covered FROM pairs"),
+    "state_removed": (lambda e: e.corrections.join(e.rules, KEY, "left_anti").select(*KEY), f"SELECT {_K} FROM corrections EXCEPT SELECT {_K} FROM rules"),
     # conflicts
     "conf_edges": (lambda e: e.conflict_edges, f"SELECT {_K}, long_typo, long_word FROM edges"),
     "conf_kept": (lambda e: e.unblocked, f"SELECT {_K} FROM unblocked"),
@@ -163,7 +200,7 @@ QUERIES: dict[str, tuple] = {
     "out_espanso_rows": (lambda e: S.espanso_rows(e.unblocked), S.ESPANSO_SQL),
     "out_by_letter": (lambda e: S.by_letter(e.unblocked), "SELECT CASE WHEN regexp_full_match(lower(left(word, 1)), '[a-z]') THEN lower(left(word, 1)) ELSE 'symbols' END AS letter, count(*)::BIGINT AS n FROM unblocked GROUP BY 1"),
     "out_chunking": (lambda e: S.chunks(e.unblocked, C.max_entries_per_file), S.CHUNK_SQL),
-    "out_ram_estimate": (lambda e: S.ram(e.unblocked), "SELECT count(*)::BIGINT AS n, round((avg(length(typo)) + avg(length(word)) + 60) * count(*) / 1024, 2) AS kb FROM unblocked"),
+    "out_ram_estimate": (lambda e: S.ram(e.unblocked), "SELECT count(*)::BIGINT AS n, round((avg(length(typo)) + avg(length(word)) + 60) * count(*) / 1024, 2) AS kb, round((avg(length(typo)) + avg(length(word)) + 60) * count(*) / 1024 / 1024, 4) AS mb FROM unblocked"),
     "out_qmk_lines": (lambda e: S.qmk_lines(e.unblocked), f"SELECT DISTINCT word, {O.qmk('typo', 'boundary')} || ' -> ' || word AS line FROM unblocked"),
     # reports
     "rep_graveyard": (lambda e: R.by_reason(e), None),
@@ -176,7 +213,12 @@ QUERIES: dict[str, tuple] = {
     "rep_exclusions": (lambda e: R.exclusions(e), R.EXCLUSIONS_SQL),
     "rep_espanso": (lambda e: R.espanso(e.unblocked), R.ESPANSO_SQL),
     "rep_qmk": (lambda e: R.qmk(R.ranked_before(e)), R.QMK_SQL),
+    "rep_qmk_shares": (lambda e: R.shares(R.ranked_before(e)), R.SHARES_SQL),
+    "rep_qmk_list": (lambda e: R.ranked_list(R.ranked_before(e)), R.RANKED_LIST_SQL),
+    "rep_user_words": (lambda e: R.first_user_words(e), R.USER_WORDS_SQL),
     "rep_history": (lambda e: R.history(e), None),
+    **{f"rep_lifecycle_{k}": (lambda e, k=k: R.early(e, k), R.LIFECYCLE_SQL[k]) for k in ("corrections", "patterns", "graveyard", "typos", "words")},
+    "dbg_traced": (lambda e: R.debug_corrections(e), R.LIFECYCLE_SQL["traced"]),
     "dbg_typo_match": (lambda e: R.debug_matches(e), R.DEBUG_SQL),
     # what a pass puts out, after the platform's pair removal
     "final_rank_qmk": (lambda e: e.ranked_rules.select(*_b("rnk"), *KEY, "tier", "score"), None),

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import copy
+import time
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import QUERY_CONFIG
 from ..functions import text as T
+from ..functions.names import human_time, report_folder, safe_name
 from .engine import KEY, Engine
 
-C = Config()
+C = QUERY_CONFIG
 
 
 def ranked_before(e: Engine) -> Engine:
@@ -49,9 +52,11 @@ def by_reason(e: Engine) -> DataFrame:
 
 def _first(rows: DataFrame, group: list[str], order: list[str], most: int, what, name: str) -> DataFrame:
     """The first ``most`` of each group in one string, with the group's size. Ranked before they are gathered."""
-    r = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct("_k", what.alias("x"))))), lambda s: s["x"])
-    return r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array_join(shown, ",").alias(name))
+    # the rank is limited before the shuffle, the sizes are combined before it: no group is gathered whole
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_k") <= most)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("_k", what.alias("x")))), lambda s: s["x"])
+    first = first.groupBy(*group).agg(F.array_join(shown, ",").alias(name))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(first, group)
 
 
 def collisions(e: Engine) -> DataFrame:
@@ -92,12 +97,12 @@ def exclusions(e: Engine) -> DataFrame:
 EXCLUSIONS_SQL = "SELECT typo, word, boundary FROM rejected WHERE reason = 'excluded_by_pattern' ORDER BY ALL LIMIT 100"
 
 
-def espanso(rules: DataFrame) -> DataFrame:
+def espanso(rules: DataFrame, most: int = C.max_entries_per_file) -> DataFrame:
     """(letter, n, files, place): place among the five largest letters, else 0."""
     n = rules.groupBy(T.letter_of("word").alias("letter")).agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.orderBy(F.desc("n"), "letter"))
     n = n.withColumn("place", place.cast("long"))
-    return n.select("letter", "n", F.expr(f"(n + {C.max_entries_per_file - 1}) div {C.max_entries_per_file}").alias("files"), F.when(F.col("place") <= 5, F.col("place")).otherwise(F.lit(0)).alias("place"))
+    return n.select("letter", "n", F.expr(f"(n + {most - 1}) div {most}").alias("files"), F.when(F.col("place") <= 5, F.col("place")).otherwise(F.lit(0)).alias("place"))
 
 
 ESPANSO_SQL = f"SELECT letter, n, (n + {C.max_entries_per_file - 1}) // {C.max_entries_per_file} AS files, CASE WHEN place <= 5 THEN place ELSE 0 END AS place FROM (SELECT *, row_number() OVER (ORDER BY n DESC, letter)::BIGINT AS place FROM (SELECT CASE WHEN regexp_full_match(lower(left(word, 1)), '[a-z]') THEN lower(left(word, 1)) ELSE 'symbols' END AS letter, count(*)::BIGINT AS n FROM unblocked GROUP BY 1))"
@@ -109,21 +114,89 @@ def qmk(e: Engine) -> DataFrame:
 
 
 QMK_SQL = f"SELECT tier, count(*)::BIGINT AS n, min(score) AS low, max(score) AS high FROM (SELECT * FROM ({SCORED_SQL}) ORDER BY tier, score DESC, typo, word, boundary LIMIT {C.max_corrections}) GROUP BY tier"
-PASSES = ("candidate_selection", "pattern_generalization", "conflict_removal", "platform_substrings", "platform_constraints")
+
+
+def shares(e: Engine) -> DataFrame:
+    """(tier, n, percent, low, high): the ranked rules by kind, with each kind's share."""
+    t = qmk(e)
+    whole = t.agg(F.sum("n").alias("whole"))
+    return t.crossJoin(F.broadcast(whole)).select("tier", "n", F.expr("(1000 * n) div whole / 10").alias("percent"), "low", "high")  # one row
+
+
+SHARES_SQL = f"SELECT tier, n, (1000 * n) // (sum(n) OVER ())::BIGINT / 10 AS percent, low, high FROM ({QMK_SQL})"
+
+
+def ranked_list(e: Engine) -> DataFrame:
+    """(rnk, line, kind, score, replaces): the ranked rules as text, with the corrections that a pattern replaces."""
+    kind = F.element_at(F.array(F.lit("user"), F.lit("pattern"), F.lit("direct")), F.col("tier") + 1)
+    n = e.replacements.groupBy(F.col("pattern_typo").alias("typo"), F.col("pattern_word").alias("word"), "boundary").agg(F.count(F.lit(1)).alias("replaces"))
+    r = e.ranking().join(n, KEY, "left")
+    return r.select(F.col("rnk").cast("long").alias("rnk"), F.concat(T.qmk_text("typo", "boundary"), F.lit(" -> "), "word").alias("line"), kind.alias("kind"), "score", F.when(F.col("tier") == 1, F.coalesce("replaces", F.lit(0))).otherwise(F.lit(0)).alias("replaces"))
+
+
+RANKED_LIST_SQL = f"SELECT rnk, (CASE WHEN q.boundary IN ('left', 'both') THEN ':' ELSE '' END) || q.typo || (CASE WHEN q.boundary IN ('right', 'both') THEN ':' ELSE '' END) || ' -> ' || q.word AS line, ['user', 'pattern', 'direct'][tier + 1] AS kind, score, CASE WHEN tier = 1 THEN coalesce(r.n, 0) ELSE 0 END::BIGINT AS replaces FROM (SELECT row_number() OVER (ORDER BY tier, score DESC, typo, word, boundary)::BIGINT AS rnk, * FROM ({SCORED_SQL}) QUALIFY rnk <= {C.max_corrections}) q LEFT JOIN (SELECT pattern_typo, pattern_word, boundary, count(*) AS n FROM repl GROUP BY ALL) r ON r.pattern_typo = q.typo AND r.pattern_word = q.word AND r.boundary = q.boundary"
+
+
+def first_user_words(e: Engine) -> DataFrame:
+    """The first twenty user words: a report, cut by design."""
+    return e.words.where("is_user").select("word").orderBy("word").limit(20)
+
+
+USER_WORDS_SQL = "SELECT word FROM words WHERE is_user ORDER BY word LIMIT 20"
+STAGES = ("candidate_selection", "pattern_generalization")
 
 
 def history(e: Engine) -> DataFrame:
     """(pass_no, pass, action, typo, word, boundary, reason): additions and rejections in the order of the passes."""
-    no = F.array_position(F.array(*[F.lit(p) for p in PASSES]), F.col("pass"))
+    no = F.array_position(F.array(*[F.lit(p) for p in (*STAGES, *(p.name for p in e.passes))]), F.col("pass"))
     none = F.lit(None).cast("string")
-    added = e.corrections.select(F.lit(PASSES[0]).alias("pass"), F.lit("added").alias("action"), *KEY, none.alias("reason")).unionByName(e.patterns.select(F.lit(PASSES[1]).alias("pass"), F.lit("added").alias("action"), *KEY, none.alias("reason")))
+    added = e.corrections.select(F.lit(STAGES[0]).alias("pass"), F.lit("added").alias("action"), *KEY, none.alias("reason")).unionByName(e.patterns.select(F.lit(STAGES[1]).alias("pass"), F.lit("added").alias("action"), *KEY, none.alias("reason")))
     return added.unionByName(e.graveyard.select("pass", F.lit("rejected").alias("action"), *KEY, "reason")).select(no.alias("pass_no"), "pass", "action", *KEY, "reason")
 
 
-def debug_matches(e: Engine) -> DataFrame:
-    """(typo, word, boundary, pattern): corrections that a traced pattern names; a scoped one only at fitting boundaries."""
+def debug_matches(e: Engine, rows: DataFrame | None = None) -> DataFrame:
+    """(typo, word, boundary, ..., pattern): rows that a traced pattern names; a scoped one only at fitting boundaries."""
     on = T.glob_match("typo", "glob") & F.expr("scope IS NULL OR boundary = 'both' OR boundary = scope")
-    return e.corrections.join(F.broadcast(e.debug_rules), on).select(*KEY, "pattern")
+    rows = e.corrections if rows is None else rows
+    return rows.join(e.small("debug_rules")(e.debug_rules), on).select(*rows.columns, "pattern")
+
+
+def is_debug_word(e: Engine, word: str = "word"):
+    """Whether a word is traced: the whole word, whatever its case."""
+    traced = [w.lower() for w in e.config.debug_words]
+    return F.lower(word).isin(traced) if traced else F.lit(False)
+
+
+def debug_corrections(e: Engine, rows: DataFrame | None = None) -> DataFrame:
+    """The rows whose word or whose typo is traced."""
+    rows = e.corrections if rows is None else rows
+    named = debug_matches(e, rows).select(*KEY).distinct().withColumn("_named", F.lit(True))
+    return rows.join(named, KEY, "left").where(F.col("_named") | is_debug_word(e)).select(*rows.columns)
+
+
+def lifecycle(e: Engine, of: str) -> DataFrame:
+    """The history of corrections, patterns, the graveyard, traced typos or traced words; in order by (pass_no, typo, word, boundary)."""
+    h = history(e)
+    if of == "corrections":
+        return h.where("pass = 'candidate_selection'").unionByName(h.where("pass NOT IN ('candidate_selection', 'pattern_generalization')").join(e.corrections, KEY, "left_semi").select(h.columns))
+    if of == "patterns":
+        return h.where("pass = 'pattern_generalization'").unionByName(h.where("pass NOT IN ('candidate_selection', 'pattern_generalization')").join(e.patterns.select(*KEY), KEY, "left_semi").select(h.columns))
+    if of == "graveyard":
+        return h.where("action = 'rejected'")
+    if of == "typos":
+        return debug_matches(e, h)
+    if of == "words":
+        return h.where(is_debug_word(e))
+    raise ValueError(f"no such report: {of!r}")
+
+
+#: What the lifecycle reports show of the stages that SQL can follow.
+_HISTORY_SQL = "(SELECT 1 AS pass_no, 'candidate_selection' AS pass, 'added' AS action, typo, word, boundary, NULL AS reason FROM corrections UNION ALL SELECT 2, 'pattern_generalization', 'added', typo, word, boundary, NULL FROM patterns UNION ALL SELECT 1, 'candidate_selection', 'rejected', typo, word, boundary, reason FROM rejected UNION ALL SELECT 2, 'pattern_generalization', 'rejected', tp, wp, boundary, 'pattern_validation_failed' FROM pat_rejects UNION ALL SELECT 3, 'conflict_removal', 'rejected', typo, word, boundary, 'blocked_by_conflict' FROM blocked)"
+
+
+def early(e: Engine, of: str) -> DataFrame:
+    """The same up to the conflict pass, with SQL."""
+    return lifecycle(e, of).where("pass_no <= 3").withColumn("pass_no", F.col("pass_no").cast("int"))
 
 
 def _debug_sql() -> str:
@@ -132,13 +205,45 @@ def _debug_sql() -> str:
     return f"SELECT typo, word, boundary, pattern FROM corrections, debug_rules WHERE typo LIKE {like('pat')} ESCAPE '!' AND (scope IS NULL OR boundary = 'both' OR boundary = scope)"
 
 
-DEBUG_SQL = _debug_sql()
+def _lifecycle_sql() -> dict[str, str]:
+    from .oracle import like, values
+
+    words = values([(w,) for w in C.debug_words])
+    typo = f"typo LIKE {like('pat')} ESCAPE '!' AND (scope IS NULL OR boundary = 'both' OR boundary = scope)"
+    part = lambda t: f"SELECT * FROM {_HISTORY_SQL} h WHERE pass_no = 3 AND EXISTS (SELECT 1 FROM {t} c WHERE c.typo = h.typo AND c.word = h.word AND c.boundary = h.boundary)"
+    return {
+        "corrections": f"SELECT * FROM {_HISTORY_SQL} WHERE pass_no = 1 UNION ALL {part('corrections')}",
+        "patterns": f"SELECT * FROM {_HISTORY_SQL} WHERE pass_no = 2 UNION ALL {part('patterns')}",
+        "graveyard": f"SELECT * FROM {_HISTORY_SQL} WHERE action = 'rejected'",
+        "typos": f"SELECT h.*, pattern FROM {_HISTORY_SQL} h, debug_rules WHERE {typo}",
+        "words": f"SELECT * FROM {_HISTORY_SQL} WHERE lower(word) IN (SELECT * FROM (VALUES {words}))",
+        "traced": f"SELECT typo, word, boundary FROM corrections WHERE lower(word) IN (SELECT * FROM (VALUES {words})) OR EXISTS (SELECT 1 FROM debug_rules WHERE {typo})",
+    }
 
 
-def write_reports(e: Engine, folder: str, platform: str) -> list[str]:
-    """The run's reports as CSV files in <folder>/<platform>, through Spark's writer."""
-    done = []
-    for name, f in {"summary": summary, "statistics": statistics, "graveyard": by_reason, "collisions": collisions, "patterns": patterns, "conflicts": conflicts, "short": short, "exclusions": exclusions, platform: qmk if platform == "qmk" else lambda e: espanso(e.final), "history": history}.items():
-        f(e).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{platform}/{name}")
-        done.append(name)
-    return done
+DEBUG_SQL = _debug_sql()
+LIFECYCLE_SQL = _lifecycle_sql()
+
+
+def write_reports(e: Engine, folder: str, platform: str, times: dict[str, float] | None = None, now: datetime | None = None) -> list[str]:
+    """The run's reports as CSV files in <folder>/<time>_<platform>, through Spark's writer; runs don't meet. -> their folders.
+
+    ``times``: seconds of the run's stages; the reports' own come last.
+    """
+    at = f"{folder}/{report_folder(platform, now)}"
+    kinds = {"summary": summary, "statistics": statistics, "graveyard": by_reason, "collisions": collisions, "patterns": patterns, "conflicts": conflicts, "short": short, "exclusions": exclusions, "history": history}
+    if platform == "qmk":
+        kinds |= {"ranking": qmk, "ranking_shares": shares, "ranking_list": lambda e: ranked_list(e).orderBy("rnk"), "user_words": first_user_words}
+    else:
+        kinds |= {"files": lambda e: espanso(e.final, e.config.max_entries_per_file)}
+    order = lambda k: lambda e: lifecycle(e, k).orderBy("pass_no", *KEY)
+    kinds |= {f"lifecycle_{k}": order(k) for k in ("corrections", "patterns", "graveyard", *(("typos",) if e.config.debug_typos else ()), *(("words",) if e.config.debug_words else ()))}
+    done, began = [], time.time()
+    for name, f in kinds.items():
+        f(e).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{at}/{safe_name(name)}")
+        done.append(f"{at}/{name}")
+    times = (times or {}) | {"reports": time.time() - began}
+    whole = sum(times.values()) or 1.0
+    rows = [(k, human_time(s), round(100 * s / whole, 1)) for k, s in times.items()]
+    e.spark.createDataFrame(rows, "stage string, time string, percent double").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{at}/times")
+    return [*done, f"{at}/times"]

@@ -17,7 +17,7 @@ class _Round(Engine):
     KEEP = ("lex", "user", "valid", "words", "pairs", "flags", "natural", "collisions", "tries", "adjacency", "typo_rules", "orders")
 
     def __init__(self, first: Engine, buried: DataFrame | None):
-        super().__init__(first.spark, first.documents, first.benchmark, first.config, first.given_include, first.given_adjacency, first.rules_given)
+        super().__init__(first.spark, first.documents, first.benchmark, first.config, first.given_include, first.given_adjacency, first.rules_given, first.passes)
         for name in self.KEEP:
             self.__dict__[name] = getattr(first, name)
         if buried is not None:
@@ -43,16 +43,16 @@ def solve(first: Engine, max_iterations: int | None = None) -> Result:
     most = max_iterations or first.config.max_iterations
     for i in range(1, most + 1):
         last = _Round(first, buried)
-        down = last.graveyard.where("reason IN ('blocked_by_conflict', 'platform_constraint', 'pattern_validation_failed')").select(*KEY, "reason")
+        down = last.graveyard.where("pass <> 'candidate_selection'").select(*KEY, "reason")
         down = down.groupBy(*KEY).agg(F.min("reason").alias("reason")).withColumn("iteration", F.lit(i))
         if buried is not None:
             down = buried.unionByName(down.join(buried.select(*KEY), KEY, "left_anti"))
         buried = cut(down)
         count = buried.count()
-        if count == known:
+        if settled := count == known:
             break
         known = count
-    result = Result(last.final, buried, i, count == known and i < most, last)
+    result = Result(last.final, buried, i, settled, last)
     if max_iterations is None:
         first.__dict__["_solved"] = result
     return result

@@ -15,7 +15,15 @@ def _lines(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a small text file."""
+    """(line_no, value) of a small text file. FileNotFoundError, IsADirectoryError or UnicodeDecodeError if it is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(at).isDirectory():
+        raise IsADirectoryError(path)
+    if spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).count():
+        raise UnicodeDecodeError("utf-8", b"", 0, 1, f"{path} is no UTF-8 text")
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
