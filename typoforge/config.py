@@ -59,7 +59,7 @@ ADJACENT = {
     "t": "rfgy", "u": "yhji", "v": "cfgb", "w": "qase", "x": "zsdc", "y": "tghu", "z": "asx",
 }
 # Exclusion rules of the example run; words, and typo -> word with ":" for required boundaries.
-WORD_RULES = ("xx*", "*zzz", "was", "q*q")
+WORD_RULES = ("th*nd", "*whwh", "was", "q*q")
 TYPO_RULES = ("*thh -> *", ":an* -> *", "*ing: -> *ing", ":ht*: -> th*", "e*e -> th*", "hte -> the")
 # Patterns traced in debug output.
 DEBUG_TYPOS = ("hte", "*nig", ":an*", "*er:", ":t*e:")

@@ -148,6 +148,12 @@ CTES: dict[str, str] = {
     "loose": "SELECT *, CASE short_boundary WHEN 'none' THEN 0 WHEN 'both' THEN 2 ELSE 1 END AS s, CASE long_boundary WHEN 'none' THEN 0 WHEN 'both' THEN 2 ELSE 1 END AS l, CASE WHEN s < l THEN short_typo ELSE long_typo END AS typo, CASE WHEN s < l THEN short_word ELSE long_word END AS word, CASE WHEN s < l THEN short_boundary ELSE long_boundary END AS boundary FROM ppairs",
     "lflags": _flags("loose"),
     "decisions": f"SELECT short_typo, short_word, short_boundary, short_text, long_typo, long_word, long_boundary, long_text, CASE WHEN s = l THEN false WHEN s < l THEN {fires('boundary', 'typo', 'word')} ELSE NOT {fires('boundary', 'typo', 'word')} END AS remove_shorter FROM loose JOIN lflags USING (typo)",
+    # pairs in order: one counts if no earlier one that counts has removed a rule of it
+    "pp": f"SELECT *, row_number() OVER (ORDER BY long_text, short_text, long_word, short_word, long_boundary, short_boundary)::VARCHAR AS id, row_number() OVER (ORDER BY long_text, short_text, long_word, short_word, long_boundary, short_boundary) AS k, CASE WHEN remove_shorter THEN sid ELSE lid END AS loser FROM (SELECT *, short_typo || chr(9) || short_word || chr(9) || short_boundary AS sid, long_typo || chr(9) || long_word || chr(9) || long_boundary AS lid FROM decisions)",
+    **_kernel("plk", "SELECT id FROM pp", "SELECT j.id AS u, i.id AS v FROM pp j JOIN pp i ON i.sid = j.loser AND j.k < i.k UNION SELECT j.id, i.id FROM pp j JOIN pp i ON i.lid = j.loser AND j.k < i.k", 16),
+    "premoved": "SELECT split_part(x, chr(9), 1) AS typo, split_part(x, chr(9), 2) AS word, split_part(x, chr(9), 3) AS boundary FROM (SELECT DISTINCT loser AS x FROM pp WHERE id IN (SELECT id FROM plk))",
+    "pleft": "SELECT typo, word, boundary, CASE WHEN NOT (regexp_full_match(typo, '[a-z'']*') AND regexp_full_match(word, '[a-z'']*')) THEN 'Invalid characters' WHEN length(typo) > 62 THEN 'Typo too long (>62)' WHEN length(word) > 62 THEN 'Word too long (>62)' END AS reason FROM unblocked u WHERE NOT EXISTS (SELECT 1 FROM premoved p WHERE p.typo = u.typo AND p.word = u.word AND p.boundary = u.boundary)",
+    "fin": "SELECT typo, word, boundary FROM pleft WHERE reason IS NULL",
     "target_orders": f"SELECT * FROM (VALUES {values([(k, i + 1, b) for k, bs in TARGET_ORDERS.items() for i, b in enumerate(bs)])}) t(place, ord, boundary)",
     "debug_rules": f"SELECT pattern, {core('pattern')} AS pat, {scope('pattern')} AS scope FROM (VALUES {values([(p,) for p in DEBUG_TYPOS])}) t(pattern)",
 }

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import QUERY_CONFIG
+from ..config import QUERY_CONFIG, platform
 from ..functions import text as T
 from ..operators import legacy as L
 from ..operators import ngrams as N
@@ -165,7 +165,7 @@ QUERIES: dict[str, tuple] = {
     "pat_min_len": (lambda e: e.pattern_checks.where("reason = 'too_short'").select("tp", "wp", "boundary"), f"SELECT tp, wp, boundary FROM checks WHERE length(tp) < {C.min_typo_length}"),
     "pat_valid_result": (lambda e: e.occurrences.select("*", F.coalesce(e.rewritten("tp", "wp", "boundary", "typo") == F.col("word"), F.lit(False)).alias("ok")).groupBy("tp", "wp", "boundary").agg(F.min("ok").alias("ok")), "SELECT tp, wp, boundary, bool_and(CASE WHEN boundary = 'right' THEN suffix(typo, tp) AND left(typo, length(typo) - length(tp)) || wp = word WHEN boundary = 'left' THEN starts_with(typo, tp) AND wp || substring(typo, length(tp) + 1) = word WHEN suffix(typo, tp) THEN left(typo, length(typo) - length(tp)) || wp = word ELSE starts_with(typo, tp) AND wp || substring(typo, length(tp) + 1) = word END) AS ok FROM occ GROUP BY ALL"),
     "pat_conflict_validation": (lambda e: e.pattern_flags.where("v_word OR v_start OR v_end OR v_sub").select("tp", "v_word", "v_start", "v_end", "v_sub"), "SELECT * FROM (SELECT tp, tp IN (SELECT word FROM valid) AS v_word, EXISTS (SELECT 1 FROM valid w WHERE w.word <> tp AND starts_with(w.word, tp)) AS v_start, EXISTS (SELECT 1 FROM valid w WHERE w.word <> tp AND suffix(w.word, tp)) AS v_end, EXISTS (SELECT 1 FROM valid w WHERE w.word <> tp AND contains(w.word, tp)) AS v_sub FROM (SELECT DISTINCT tp FROM occ)) WHERE v_word OR v_start OR v_end OR v_sub"),
-    "pat_conflict_source": (lambda e: e.pattern_checks.where("reason = 'corrupts_source'").select("tp", "wp", "boundary"), "SELECT tp, wp, boundary FROM checks WHERE reason = 'corrupts_source'"),
+    "pat_conflict_source": (lambda e: e.pattern_checks.join(e.pattern_flags.where(platform(C.platform).direction).select("tp"), "tp").select("tp", "wp", "boundary"), "SELECT DISTINCT tp, wp, boundary FROM occ WHERE EXISTS (SELECT 1 FROM words w WHERE starts_with(w.word, tp))"),
     "pat_corrupt_rtl": (lambda e: e.pattern_flags.where("rtl").select("tp"), "SELECT DISTINCT tp FROM occ WHERE EXISTS (SELECT 1 FROM words w WHERE starts_with(w.word, tp))"),
     "pat_corrupt_ltr": (lambda e: e.pattern_flags.where("ltr").select("tp"), "SELECT DISTINCT tp FROM occ WHERE EXISTS (SELECT 1 FROM words w WHERE suffix(w.word, tp))"),
     "pat_affix_matches": (lambda e: e.affix_matches, "SELECT tp, wp, boundary, side, typo, word FROM affix"),
@@ -185,10 +185,10 @@ QUERIES: dict[str, tuple] = {
     "plat_formatted": (lambda e: e.formatted(e.unblocked).groupBy("text").agg(F.count(F.lit(1)).alias("n")), "SELECT text, count(*)::BIGINT AS n FROM fmt GROUP BY text"),
     "plat_pairs": (lambda e: e.platform_pairs.select(*[F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in ("short", "long") for k in (*KEY, "text")]), "SELECT * FROM ppairs"),
     "plat_decision": (lambda e: e.platform_decisions.select(*[F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in ("short", "long") for k in (*KEY, "text")], "remove_shorter"), "SELECT * FROM decisions"),
-    "plat_removed": (lambda e: e.platform_removed, None),
-    "pass_platform": (lambda e: e.final, None),
+    "plat_removed": (lambda e: e.platform_removed, f"SELECT {_K} FROM premoved"),
+    "pass_platform": (lambda e: e.final, f"SELECT {_K} FROM fin"),
     "plat_constraints": (lambda e: e.violations(e.rules), f"SELECT {_K}, CASE WHEN NOT (regexp_full_match(typo, '[a-z'']*') AND regexp_full_match(word, '[a-z'']*')) THEN 'Invalid characters' WHEN length(typo) > 62 THEN 'Typo too long (>62)' WHEN length(word) > 62 THEN 'Word too long (>62)' END AS reason FROM rules"),
-    # ranking, sinks and their reports before the platform's pair removal, which SQL can't follow; after it: final_*
+    # ranking, sinks and their reports before the platform's pair removal; after it: final_*
     "rank_union": (lambda e: e.corrections.unionByName(e.patterns.select(*KEY)).distinct(), f"SELECT {_K} FROM corrections UNION SELECT {_K} FROM patterns"),
     "rank_tiers": (lambda e: R.ranked_before(e).tiers, f"SELECT {_K}, tier FROM ({R.TIERS_SQL})"),
     "rank_pattern_scores": (lambda e: e.pattern_scores, "SELECT pattern_typo AS typo, pattern_word AS word, boundary, sum(coalesce(freq, 0))::BIGINT AS score FROM repl LEFT JOIN lex USING (word) GROUP BY ALL"),
@@ -203,7 +203,7 @@ QUERIES: dict[str, tuple] = {
     "out_ram_estimate": (lambda e: S.ram(e.unblocked), "SELECT count(*)::BIGINT AS n, round((avg(length(typo)) + avg(length(word)) + 60) * count(*) / 1024, 2) AS kb, round((avg(length(typo)) + avg(length(word)) + 60) * count(*) / 1024 / 1024, 4) AS mb FROM unblocked"),
     "out_qmk_lines": (lambda e: S.qmk_lines(e.unblocked), f"SELECT DISTINCT word, {O.qmk('typo', 'boundary')} || ' -> ' || word AS line FROM unblocked"),
     # reports
-    "rep_graveyard": (lambda e: R.by_reason(e), None),
+    "rep_graveyard": (lambda e: R.by_reason(e), R.GRAVEYARD_SQL),
     "rep_summary": (lambda e: R.summary(e), R.SUMMARY_SQL),
     "rep_statistics": (lambda e: R.statistics(e), f"SELECT metric, value FROM (UNPIVOT ({R.SUMMARY_SQL}) ON COLUMNS(*) INTO NAME metric VALUE value)"),
     "rep_collisions": (lambda e: R.collisions(e), R.COLLISIONS_SQL),
@@ -216,20 +216,21 @@ QUERIES: dict[str, tuple] = {
     "rep_qmk_shares": (lambda e: R.shares(R.ranked_before(e)), R.SHARES_SQL),
     "rep_qmk_list": (lambda e: R.ranked_list(R.ranked_before(e)), R.RANKED_LIST_SQL),
     "rep_user_words": (lambda e: R.first_user_words(e), R.USER_WORDS_SQL),
-    "rep_history": (lambda e: R.history(e), None),
+    "rep_history": (lambda e: R.history(e), R.HISTORY_SQL),
     **{f"rep_lifecycle_{k}": (lambda e, k=k: R.early(e, k), R.LIFECYCLE_SQL[k]) for k in ("corrections", "patterns", "graveyard", "typos", "words")},
     "dbg_traced": (lambda e: R.debug_corrections(e), R.LIFECYCLE_SQL["traced"]),
     "dbg_typo_match": (lambda e: R.debug_matches(e), R.DEBUG_SQL),
     # what a pass puts out, after the platform's pair removal
-    "final_rank_qmk": (lambda e: e.ranked_rules.select(*_b("rnk"), *KEY, "tier", "score"), None),
-    "final_rank_topk": (lambda e: e.ranking(100).select(*_b("rnk"), *KEY), None),
-    "final_rank_tiers": (lambda e: e.tiers, None),
+    "final_rank_qmk": (lambda e: e.ranked_rules.select(*_b("rnk"), *KEY, "tier", "score"), R.final(f"SELECT row_number() OVER ({O._rank})::BIGINT AS rnk, * FROM ({R.SCORED_SQL}) QUALIFY rnk <= {C.max_corrections}")),
+    "final_rank_topk": (lambda e: e.ranking(100).select(*_b("rnk"), *KEY), R.final(f"SELECT row_number() OVER ({O._rank})::BIGINT AS rnk, {_K} FROM ({R.SCORED_SQL}) QUALIFY rnk <= 100")),
+    "final_rank_tiers": (lambda e: e.tiers, R.final(f"SELECT {_K}, tier FROM ({R.TIERS_SQL})")),
     "final_rank_espanso": (lambda e: _espanso(e).final.select(*KEY), None),
-    "final_out_qmk_lines": (lambda e: S.qmk_lines(e.ranked_rules), None),
+    "final_out_qmk_lines": (lambda e: S.qmk_lines(e.ranked_rules), R.final(f"SELECT DISTINCT word, {O.qmk('typo', 'boundary')} || ' -> ' || word AS line FROM (SELECT * FROM ({R.SCORED_SQL}) ORDER BY tier, score DESC, typo, word, boundary LIMIT {C.max_corrections})")),
     "final_out_espanso_rows": (lambda e: S.espanso_rows(_espanso(e).final), None),
     "final_out_by_letter": (lambda e: S.by_letter(_espanso(e).final), None),
     "final_out_chunking": (lambda e: S.chunks(_espanso(e).final, C.max_entries_per_file), None),
-    "final_rep_qmk": (lambda e: R.qmk(e), None),
+    "final_rep_qmk": (lambda e: R.qmk(e), R.final(R.QMK_SQL)),
+    "final_rep_qmk_list": (lambda e: R.ranked_list(e), R.final(R.RANKED_LIST_SQL)),
     "final_rep_espanso": (lambda e: R.espanso(_espanso(e).final), None),
     # the loop
     "solve": (lambda e: solve(e).rules, None),

@@ -151,7 +151,7 @@ def history(e: Engine) -> DataFrame:
     no = F.array_position(F.array(*[F.lit(p) for p in (*STAGES, *(p.name for p in e.passes))]), F.col("pass"))
     none = F.lit(None).cast("string")
     added = e.corrections.select(F.lit(STAGES[0]).alias("pass"), F.lit("added").alias("action"), *KEY, none.alias("reason")).unionByName(e.patterns.select(F.lit(STAGES[1]).alias("pass"), F.lit("added").alias("action"), *KEY, none.alias("reason")))
-    return added.unionByName(e.graveyard.select("pass", F.lit("rejected").alias("action"), *KEY, "reason")).select(no.alias("pass_no"), "pass", "action", *KEY, "reason")
+    return added.unionByName(e.graveyard.select("pass", F.lit("rejected").alias("action"), *KEY, "reason")).select(no.cast("int").alias("pass_no"), "pass", "action", *KEY, "reason")
 
 
 def debug_matches(e: Engine, rows: DataFrame | None = None) -> DataFrame:
@@ -194,9 +194,21 @@ def lifecycle(e: Engine, of: str) -> DataFrame:
 _HISTORY_SQL = "(SELECT 1 AS pass_no, 'candidate_selection' AS pass, 'added' AS action, typo, word, boundary, NULL AS reason FROM corrections UNION ALL SELECT 2, 'pattern_generalization', 'added', typo, word, boundary, NULL FROM patterns UNION ALL SELECT 1, 'candidate_selection', 'rejected', typo, word, boundary, reason FROM rejected UNION ALL SELECT 2, 'pattern_generalization', 'rejected', tp, wp, boundary, 'pattern_validation_failed' FROM pat_rejects UNION ALL SELECT 3, 'conflict_removal', 'rejected', typo, word, boundary, 'blocked_by_conflict' FROM blocked)"
 
 
+#: The whole of a pass, the platform's removals included.
+HISTORY_SQL = f"SELECT * FROM {_HISTORY_SQL} UNION ALL SELECT 4, 'platform_substrings', 'rejected', typo, word, boundary, 'platform_constraint' FROM premoved UNION ALL SELECT 5, 'platform_constraints', 'rejected', typo, word, boundary, 'platform_constraint' FROM pleft WHERE reason IS NOT NULL"
+GRAVEYARD_SQL = f"SELECT pass, reason, count(*)::BIGINT AS n FROM ({HISTORY_SQL}) WHERE action = 'rejected' GROUP BY ALL"
+
+
+def final(sql: str) -> str:
+    """SQL over the rules before the platform's removals -> the same over those after them."""
+    import re
+
+    return re.sub(r"\bunblocked\b", "fin", sql)
+
+
 def early(e: Engine, of: str) -> DataFrame:
     """The same up to the conflict pass, with SQL."""
-    return lifecycle(e, of).where("pass_no <= 3").withColumn("pass_no", F.col("pass_no").cast("int"))
+    return lifecycle(e, of).where("pass_no <= 3")
 
 
 def _debug_sql() -> str:
