@@ -246,22 +246,22 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (id, root): root is the smallest id that can be reached. Large-star and small-star in turn.
 
     Each round keeps only (node, smaller neighbour) rows; the smallest of a node comes from an aggregate with map-side
-    combining, and goes back to the node's edges by a join that broadcasts hot nodes. The rounds end when nothing
-    changes: a few more than the logarithm of the longest path.
+    combining, and goes back to the node's edges by a join whose hot partitions adaptive execution splits: the other side
+    has a row a node. The rounds end when nothing changes: a few more than the logarithm of the longest path.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "cc")
-    mark, total = None, now.count()
+    mark = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_spread(both.where("v > u"), low, "u", "n", total).select(F.col("v"), F.col("m").alias("u")).where("u < v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v"), F.col("m").alias("u")).where("u < v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         # a node has few smaller neighbours left
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u < v").distinct()
         after = materialize(small, "cc")
         new = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(now)
-        now, total = after, new[0]
+        now = after
         if new == mark:
             return now.select(F.col("v").alias("id"), F.col("u").alias("root"))
         mark = new
