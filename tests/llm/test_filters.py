@@ -292,6 +292,8 @@ def test_toxicity_held_out_and_gaps(spark):
     clean = toxicity.clean_only(docs, labels)
     assert clean.columns == docs.columns and clean.where("text is null").count() == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+    twice = toxicity.train(docs.unionByName(docs.where("doc_id < 40")), labels)
+    assert np.array_equal(twice.table, model.table) and (twice.bias, twice.slope, twice.shift) == (model.bias, model.slope, model.shift)
     none = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
 

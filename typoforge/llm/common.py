@@ -57,6 +57,17 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int)
     return heavy.unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot).drop(n), key).select(heavy.columns))
 
 
+def give_back() -> None:
+    """Return what the allocator of this Python worker holds but does not use: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,7 +17,7 @@ import numpy as np
 
 CAP = 100
 SEPARATOR, SHIFT = 1, 2
-#: Bytes that a queue holds in memory; a shard of 4 MB has some 20 MB of tuples.
+#: Bytes that a queue holds in memory; a shard of 2 MB has some 10 MB of tuples.
 QUEUE = 8 << 20
 
 
@@ -40,13 +40,14 @@ class BucketQueue:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         for bucket in self.chunks:
-            for i, c in enumerate(bucket):
-                if len(c) == 2:
-                    at = self.file.seek(0, 2)
-                    self.file.write(c[0].tobytes())
-                    self.file.write(c[1].tobytes())
-                    bucket[i] = (at, len(c[0]), c[0].dtype)
-                    self.spilled += c[0].nbytes + c[1].nbytes
+            held = [c for c in bucket if len(c) == 2]  # behind those on disk, which came earlier
+            if held:
+                pos, lcp = (np.concatenate(x) for x in zip(*held, strict=True))
+                at = self.file.seek(0, 2)
+                self.file.write(pos.tobytes())
+                self.file.write(lcp.tobytes())
+                self.spilled += pos.nbytes + lcp.nbytes
+                bucket[len(bucket) - len(held) :] = [(at, len(pos), pos.dtype)]
         self.held = 0
 
     def take(self, key: int) -> tuple[np.ndarray, np.ndarray] | None:

@@ -10,11 +10,11 @@ alone. Steps:
    earliest. Hot names go on window by window, named by the whole window, so that a line that many documents hold is
    spread by its surroundings.
 4. ``_sort``: by segment shard -> suffix and common-prefix arrays of the distinct segments (external induced sorting,
-   :mod:`esort`); in each run of suffixes with 100 common bytes all windows but the earliest are removed.
+   :mod:`esort`), of names that have several; in each run of suffixes with 100 common bytes all windows but the earliest are removed.
 5. ``_apply``: texts by chunk with the removed spans -> results.
 
 Hot names have ``HOT`` occurrences, or one of ``HOT_NAMES`` of all if that is more, so there are at most as many. They are
-counted twice: step 1 adds up those that occur twice in a batch of lists, which finds what one document in a thousand
+counted twice: step 1 adds up those that occur four times in a batch of lists, which finds what one document in five hundred
 holds, before anything is dealt; step 2 has all occurrences of the others of a shard and counts them exactly, before texts
 are dealt. Only lists of numbers and the segments that may repeat move in 1 to 4; the list of hot names goes to all tasks. Queues of the sort spill to a scratch file of the task, as Spark's own sorts do; what passes
 between tasks goes through shuffles and tables in the shared folder.
@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import esort
-from .common import materialize
+from .common import give_back, materialize
 
 LENGTH, GRAM = 100, 16
 #: Bytes of text in a chunk, behind a name shard, and of segments in a sorting shard, on average.
-CHUNK, NAME_SHARD, SORT_SHARD = 8 << 20, 32 << 20, 4 << 20
+CHUNK, NAME_SHARD, SORT_SHARD = 4 << 20, 16 << 20, 2 << 20
 #: Bytes of text that a task looks at in one go.
 BATCH = 1 << 19
 #: See above; hot names take 16 MB at most.
-HOT, LOCAL, HOT_NAMES = 2_000, 2, 2_000_000
+HOT, LOCAL, HOT_NAMES = 20_000, 4, 2_000_000
 _LAST = np.iinfo(np.int64).max
 #: Set in the hash of texts without id, whose id is read as _LAST.
 _NO_ID = 1 << 62
@@ -227,7 +227,7 @@ def _packed(batches):
     """Texts of a batch by chunk -> (chunk, list of ids, hashes, sizes and bytes), so that shuffles move them compressed."""
     import pyarrow as pa
 
-    for b in batches:
+    for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
         ids, hs, chunk = (np.asarray(b.column(k)) for k in ("__id", "__h", "__chunk"))
         texts = _bytes(b.column("text"))
         order = np.argsort(chunk, kind="stable")
@@ -279,14 +279,14 @@ def _cut(hot: np.ndarray, shards: int):
             else:
                 asked = np.zeros(0, np.int64)
             earliest: dict[tuple, int] = {}
-            kept, removed = [], []  # (document, start, windows, shard key, bytes); (document, from, to)
+            kept, removed = [], []  # (document, start, windows, name, bytes, name occurs twice); (document, from, to)
             for lo, hi in _batches(texts):
-                doc, start, windows, name, _ = segments(texts[lo:hi])
+                doc, start, windows, name, again = segments(texts[lo:hi])
                 nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 code = (doc + lo) * (1 << 32) + nth
                 is_hot = np.isin(name, hot) if len(hot) else np.zeros(len(name), bool)
                 pick = np.flatnonzero(np.isin(code, asked) | is_hot)
-                for d, s, w, v, burning in zip((doc[pick] + lo).tolist(), start[pick].tolist(), windows[pick].tolist(), name[pick].tolist(), is_hot[pick].tolist(), strict=True):
+                for d, s, w, v, burning, twice in zip((doc[pick] + lo).tolist(), start[pick].tolist(), windows[pick].tolist(), name[pick].tolist(), is_hot[pick].tolist(), again[pick].tolist(), strict=True):
                     raw = texts[d][s : s + w + LENGTH - 1]
                     key = (v, xxh3_128_digest(raw))
                     if key in earliest:  # documents come in order, so the first one is the earliest
@@ -300,9 +300,9 @@ def _cut(hot: np.ndarray, shards: int):
                                 removed.append((d, s + k, s + k + LENGTH))
                             else:
                                 earliest[(one,)] = d
-                                kept.append((d, s + k, 1, xxh64_intdigest(one), one))
+                                kept.append((d, s + k, 1, xxh64_intdigest(one), one, False))
                     else:
-                        kept.append((d, s, w, v, raw))
+                        kept.append((d, s, w, v, raw, twice))
             if removed:
                 d, a, b = np.array(removed, np.int64).T
                 rows.append((chunk % shards, chunk, pack(ids[d], hs[d], a, b)))
@@ -313,14 +313,18 @@ def _cut(hot: np.ndarray, shards: int):
                 for s in np.flatnonzero(np.diff(cut)).tolist():
                     mine = [kept[i] for i in order[cut[s] : cut[s + 1]].tolist()]
                     d = np.array([k[0] for k in mine], np.int64)
-                    rows.append((s, None, pack(ids[d], hs[d], np.full(len(d), chunk, np.int32), np.array([k[1] for k in mine], np.int64), np.array([k[2] for k in mine], np.int32), np.frombuffer(b"".join(k[4] for k in mine), np.uint8))))
+                    rows.append((s, None, pack(ids[d], hs[d], np.full(len(d), chunk, np.int32), np.array([k[1] for k in mine], np.int64), np.array([k[2] for k in mine], np.int32), np.array([k[3] for k in mine], np.uint64), np.array([k[5] for k in mine], np.uint8), np.frombuffer(b"".join(k[4] for k in mine), np.uint8))))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def repeats(ids: np.ndarray, hs: np.ndarray, start: np.ndarray, windows: np.ndarray, raw: list[bytes], limit: int = esort.QUEUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments -> (segment, from, to): runs of bytes covered by windows that also start earlier in some segment."""
+def repeats(ids: np.ndarray, hs: np.ndarray, start: np.ndarray, windows: np.ndarray, name: np.ndarray, again: np.ndarray, raw: list[bytes], limit: int = esort.QUEUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments -> (segment, from, to): runs of bytes covered by windows that also start earlier in some segment.
+
+    Equal windows have one name, so a segment that is the only one of its name, but for its equals, and has the name once
+    holds no other repeat: such segments, most of exact copies, are not sorted.
+    """
     from xxhash import xxh3_128_digest
 
     digest = np.frombuffer(b"".join(map(xxh3_128_digest, raw)), np.uint64).reshape(-1, 2)
@@ -331,6 +335,10 @@ def repeats(ids: np.ndarray, hs: np.ndarray, start: np.ndarray, windows: np.ndar
     later = order[(ids[order] != ids[lead]) | (hs[order] != hs[lead]) | (start[order] != start[lead])]
     out = [(later, start[later], start[later] + windows[later] + LENGTH - 1)]
     reps = np.sort(order[new])
+    _, which, count = np.unique(name[reps], return_inverse=True, return_counts=True)
+    reps = reps[(count[which] > 1) | (again[reps] > 0)]
+    if not len(reps):
+        return out[0]
     text, at = esort.join_texts([raw[i] for i in reps.tolist()])
     sa, lcp = esort.suffix_array(text, limit)
     which = np.searchsorted(at, sa, "right") - 1
@@ -361,20 +369,22 @@ def _sort(table):
     import pyarrow as pa
 
     schema = pa.schema([("chunk", pa.int32()), ("spans", pa.binary())])
-    rows, ids, hs, chunks, start, windows, raw = [], [], [], [], [], [], []
+    rows, ids, hs, chunks, start, windows, name, again, raw = [], [], [], [], [], [], [], [], []
     for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("list").to_pylist(), strict=True):
         if chunk is not None:  # spans found in step 3 pass through
             rows.append((chunk, blob))
             continue
-        i, h, c, s, w, b = unpack(blob)
-        ids.append(i), hs.append(h), chunks.append(c), start.append(s), windows.append(w.astype(np.int64))
+        i, h, c, s, w, v, a, b = unpack(blob)
+        ids.append(i), hs.append(h), chunks.append(c), start.append(s), windows.append(w.astype(np.int64)), name.append(v), again.append(a)
         end = np.cumsum(w.astype(np.int64) + LENGTH - 1)
         whole = b.tobytes()
         raw += [whole[x:y] for x, y in zip((end - w - LENGTH + 1).tolist(), end.tolist(), strict=True)]
     if raw:
-        ids, hs, chunks, start, windows = (np.concatenate(x) for x in (ids, hs, chunks, start, windows))
-        seg, a, b = repeats(ids, hs, start, windows, raw)
+        ids, hs, chunks, start, windows, name, again = (np.concatenate(x) for x in (ids, hs, chunks, start, windows, name, again))
+        seg, a, b = repeats(ids, hs, start, windows, name, again, raw)
         rows += _spans_by_chunk(chunks[seg], ids[seg], hs[seg], a, b)
+        del ids, hs, chunks, start, windows, name, again, raw
+        give_back()
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 

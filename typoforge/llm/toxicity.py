@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, give_back
 from .quality import majority
 
 DECAY, SCALE, WIDTH, STEP, ALPHABET, RUN = 0.75, 0.7, 12, 2, 43, 3
@@ -334,7 +334,7 @@ class Model:
         return words(line).union(split_words(line, self.head, self.tail))
 
     def margins(self, bags: list[set[bytes]]) -> np.ndarray:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         if new := list(set().union(*bags) - self.known.keys()):
             for at in range(0, len(new), 10_000):
@@ -480,6 +480,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
 
         bags = sorted({(y.as_py(), bag.as_py()) for b in batches for y, bag in zip(*b.columns, strict=True)})
         model = fit([set(b.split()) for y, b in bags if y], [set(b.split()) for y, b in bags if not y], share)
+        del bags
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # the sample is bounded, so it fits one task; the driver gets the folded weights only
@@ -498,6 +500,8 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 0) -> DataF
                 c = b.slice(at, 512)
                 s = model.scores([t.as_py() for t in c.column(2)])
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        model.known.clear()
+        give_back()
 
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -515,6 +519,8 @@ def clean_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 c = b.slice(at, 512)
                 text = c.schema.get_field_index("text")
                 yield c.filter(pa.array(model.scores([t.as_py() for t in c.column(text)]) < 0.5))
+        model.known.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
