@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, empty
 from typoforge.llm import chat, decontam, quality, toxicity, urlfilter, warc
@@ -94,6 +95,18 @@ def test_verbatim_copies_are_always_found(spark):
     assert {r["doc_id"] for r in decontam.clean_only(docs, bench).collect()} == {30, 31, 32}
 
 
+def test_every_window_that_matches_is_sought(spark):
+    items = {1: "Who wrote Anna Karenina", 2: "Tom likes 5 apples", 3: "They gave her 120 red coins and then went back home", 4: "Find m of l with s at g", 5: "the green fox jumps over seven lazy brown dogs at dawn", 6: "Paul Anna Maria Otto Berta sang loudly", 7: "m l s 5"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, f"some words before: {items[i]}. some words after") for i in (1, 2, 4, 6, 7)]
+    rows += [(12, "we saw that Berta likes 7 apples now"), (13, items[3].replace("120", "two hundred and five")), (15, f"x {items[5].title()} y"), (25, items[5].replace("fox", "f\u0001ox")), (31, "Who wrote Emma Bovary"), (32, "Tom sells 5 apples"), (17, "so m l s 8 there"), (33, "m l g 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kept in (items, {i: t for i, t in items.items() if i != 7}):
+        for most in (200_000, 0):
+            got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench.where(F.col("item_id").isin(*kept)), broadcast=most).collect()}
+            assert got == {(d, d % 10) for d in (1, 2, 4, 6, 7, 12, 13, 15, 17, 25) if d % 10 in kept}
+
+
 def test_a_changed_value_drops_its_windows_only(spark):
     item = "On 12 of the shelves we keep old books about the sea and its many fish and on another 12 of them we keep new maps of the wide land with all rivers and hills drawn in ink by hand"
     docs = spark.createDataFrame([(1, "w " + item.replace("another 12", "another 13")), (2, "w " + item.replace("12", "14")), (3, "w " + item)], "doc_id long, text string")

@@ -21,10 +21,10 @@ tokens in a row); the path that covers more is reported.
 
 Documents are sought in two steps, as most have nothing of the benchmark:
 
-1. Of all texts, split at once, the words that can't be part of a slot stand in a line; ``RUN`` in a row are hashed and
-   joined with the first such words of each benchmark window, as it is and in lower case. A window that matches has them
-   in a row, whatever its slots hold. Only for windows of fewer than ``FEWEST`` such words, where the benchmark has any,
-   all words are hashed too.
+1. All texts are split at once, and hashes of words in a row are joined with one of each benchmark window. Verbatim windows
+   are sought in all words, lower-cased: a whole window of ``WINDOW`` words, of shorter items the first ``RUN``. Templates
+   are sought in the line of words that can't be part of a slot, by their first ``RUN`` such words, or all they have: a
+   window that matches has them in a row, whatever its slots hold. If a template has none, all documents go on.
 2. The documents found are canonicalised and their windows joined; what moves is (document key, place, hash). The hits of
    a document are put together and compared with its tokens, one row for each document.
 
@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, SHORTEST, ENOUGH, COVER, RUN, FEWEST = 8, 4, 6, 0.5, 4, 3
+WINDOW, SHORTEST, ENOUGH, COVER, RUN = 8, 4, 6, 0.5, 4
 #: Windows of 8 words take some 300 bytes: 60 MB.
 BROADCAST = 200_000
 #: Keys of documents take 16 bytes: 16 MB.
@@ -81,21 +81,26 @@ def canonical(joined_text: Column) -> Column:
     return F.regexp_replace(F.lower(x), f"(?<={NUMBER}|{NUMBER} )(?:{'|'.join(UNITS)})(?![{_WORD}])", UNIT)
 
 
+def unmarked(text: str) -> Column:
+    """A text without the characters that stand for slots."""
+    return F.regexp_replace(text, "[\u0001-\u0004]", "")
+
+
 def tokens(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, text) -> keys, raw (tokens), canon, plain: arrays, the first two of one length. Texts without words go."""
-    df = df.select(*keys, F.regexp_replace("text", "[\u0001-\u0004]", "").alias("text"))
+    df = df.select(*keys, unmarked("text").alias("text"))
     df = df.select(*keys, joined(F.col("text")).alias("joined"), F.transform(split_words(F.col("text")), F.lower).alias("plain")).where(F.size("plain") > 0)
     return df.select(*keys, F.split("joined", " ").alias("raw"), F.split(canonical(F.col("joined")), " ").alias("canon"), "plain")
 
 
-def literals(text: Column) -> Column:
-    """The words of a text that are part of no slot, lower-cased: neither names nor numbers nor what may be a unit."""
+def literals(words: Column | str) -> Column:
+    """The words that are part of no slot: neither names nor numbers, with the "and" inside them, nor what may be a unit."""
 
     def loose(w: Column) -> Column:
         name = ((w < "a") | (w >= "{")) & w.rlike(r"^\p{Lu}\p{Ll}") & ~w.isin(*STARTERS)
-        return (w >= ":") & ~w.rlike(r"^\p{Nd}") & ~name & ~F.lower(w).isin(*NUMERALS, *UNITS)
+        return (w >= ":") & ~w.rlike(r"^\p{Nd}") & ~name & ~F.lower(w).isin("and", *NUMERALS, *UNITS)
 
-    return F.filter(split_words(text), loose)
+    return F.filter(words, loose)
 
 
 def _hashes(words: str, path: int, n: int) -> Column:
@@ -157,17 +162,20 @@ def candidates(docs: DataFrame, windows: DataFrame, broadcast: int = BROADCAST)
     """docs (doc_id, key, text) -> (doc_id, key) of those that may hold a window of the benchmark. Step 1."""
     from .common import materialize
 
-    # first literal words of each window: of its raw tokens, and of the whole in lower case
-    raw = windows.where(F.col("path") == TEMPLATE).select(F.array_join("item_raw", " ").alias("t"))
-    plain = windows.where(F.col("path") == VERBATIM).select(F.array_join("window", " ").alias("t"))
-    parts = raw.unionByName(plain).select(literals(F.translate("t", JOIN, " ")).alias("words")).withColumn("h", _word_hashes("words"))
-    short = windows.where((F.col("path") == VERBATIM) & (F.size(literals(F.array_join("window", " "))) < FEWEST)).select("n", "hash").distinct()
-    parts = parts.withColumn("r", F.least(F.lit(RUN), F.size("h"))).where(F.col("r") >= FEWEST)
-    seed = parts.select("r", F.coalesce(*[F.when(F.col("r") == r, _hash("h", 2, r, F.lit(0))) for r in range(1, RUN + 1)]).alias("hash")).distinct()
-    seed = materialize(seed.unionByName(short.select((-F.col("n")).alias("r"), "hash")), "decontam-seeds")
-    runs = sorted(r["r"] for r in seed.select("r").distinct().collect()) or [RUN]
-    h = docs.select("doc_id", "key", _word_hashes(literals(F.col("text"))).alias("h"), *([_word_hashes(split_words(F.col("text"))).alias("w")] if runs[0] < 0 else []))
-    every = [_run_hashes("h", 2, r) if r > 0 else _run_hashes("w", VERBATIM, -r) for r in runs]
+    # of verbatim windows the words, of templates the first literal ones of the raw tokens
+    full = windows.agg(F.max("n")).first()[0] or WINDOW
+    plain = windows.where(F.col("path") == VERBATIM).select(F.lit(VERBATIM).alias("path"), F.when(F.col("n") == full, F.col("n")).otherwise(F.least(F.lit(RUN), "n")).alias("r"), _word_hashes("window").alias("h"))
+    raw = windows.where(F.col("path") == TEMPLATE).select(literals(split_words(F.array_join("item_raw", " "))).alias("words"))
+    raw = raw.select(F.lit(TEMPLATE).alias("path"), F.least(F.lit(RUN), F.size("words")).alias("r"), _word_hashes("words").alias("h"))
+    first = lambda path, r: F.when((F.col("path") == path) & (F.col("r") == r), _hash("h", path, r, F.lit(0)))
+    lengths = [(TEMPLATE, r) for r in range(1, RUN + 1)] + [(VERBATIM, r) for r in sorted({*range(1, RUN + 1), full})]
+    seed = materialize(raw.unionByName(plain).select("path", "r", F.coalesce(*[first(*x) for x in lengths]).alias("hash")).distinct(), "decontam-seeds")
+    runs = sorted(tuple(r) for r in seed.select("path", "r").distinct().collect()) or [(VERBATIM, full)]
+    if (TEMPLATE, 0) in runs:
+        return materialize(docs.select("doc_id", "key").distinct(), "decontam-found")
+    h = docs.select("doc_id", "key", split_words(unmarked("text")).alias("words"))
+    h = h.select("doc_id", "key", *[_word_hashes(x).alias(c) for c, path, x in (("h", TEMPLATE, literals("words")), ("w", VERBATIM, F.col("words"))) if path in dict(runs)])
+    every = [_run_hashes("h" if path == TEMPLATE else "w", path, r) for path, r in runs]
     seen = h.select("doc_id", "key", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("hash"))
     hashes = seed.select("hash").distinct()
     return materialize(seen.join(_few(seed, broadcast)(hashes), "hash", "left_semi").select("doc_id", "key").distinct(), "decontam-found")
