@@ -245,3 +245,26 @@ def test_pipeline_links_all_pairs_by_jaccard(spark, monkeypatch):
     assert sorted(r[0] for r in got.where("doc_id is not null").collect()) == sorted(set(brute_components(sets, pairs).values()))
     assert got.where("doc_id is null").count() == 1
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_leave_no_files_and_no_texts_in_shuffles(spark):
+    import time
+    from pathlib import Path
+
+    from typoforge.llm.common import materialize, shared_dir
+
+    df, _ = documents(spark)
+    root = Path(shared_dir(spark))
+    was = {p.name for p in root.iterdir()}
+    got = simhash_docs.keep_one(df)
+    new = {p.name.split("-")[1] for p in root.iterdir() if p.name not in was and p.name.startswith("near-")}
+    assert not new & {"sets", "shared", "members", "whole"}
+    rows = sorted(map(str, got.collect()))
+    assert rows == sorted(map(str, simhash_docs.keep_one(df, broadcast=0).collect())) and len(rows) == len({r["doc_id"] for r in got.collect()})
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    materialize(df.repartition(3, "text"), "near-test")
+    end = time.time() + 10
+    while files() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files() <= before
