@@ -118,3 +118,34 @@ def test_search_is_exact(spark):
         assert got.get(q["query_id"], []) == [(i, -s) for s, i in sorted(score)[:10]]
     assert search.search(empty(spark), queries).count() == 0
     assert search.search(df, queries.limit(0)).count() == 0
+
+
+def test_waves_of_shards_are_bounded_and_change_nothing(spark, monkeypatch):
+    df, rows = documents(spark, n=150)
+    queries = df.where("doc_id % 20 = 0 or doc_id in (150, 151)").select(df.doc_id.alias("query_id"), "text")
+    ask = lambda **k: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in search.search(df, queries, **k).collect())
+    want = ask(shard_docs=1000)
+    waves = []
+    whole = type(df).repartitionById
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, n, *a: waves.append(n) or whole(self, n, *a))
+    assert ask(shard_docs=12) == want and max(waves[:1]) <= 4 and len(waves) > 1
+    waves.clear()
+    # the copies of the queries for all shards of a wave stay within a part of the texts
+    assert ask(shard_docs=30, shard_words=10_000, copies=1e-6) == want and set(waves) == {1}
+
+
+def test_scores_under_the_floor_are_left_out():
+    rng = np.random.default_rng(5)
+    index = search.Index(3000, 12.0)
+    for i in range(3000):
+        index.add(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 12) % 500))
+    index.close()
+    for dense in (True, False):
+        q = np.array([index.number[f"w{k}".encode()] for k in (range(1, 60) if dense else range(300, 303))])
+        idf = np.log(1 + 3000 / (1 + index.start[index.cut[q + 1]] - index.start[index.cut[q]]))
+        ids, score = index.search(q, idf)
+        for at in (0, 4, 9):
+            got = index.search(q, idf, floor=float(score[at]))
+            keep = score >= score[at]
+            assert got[0].tolist() == ids[keep].tolist() and got[1].tolist() == score[keep].tolist()
+        assert not len(index.search(q, idf, floor=float(score[0]) + 1)[0])
