@@ -1,9 +1,11 @@
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, empty
-from typoforge.llm import mixing, search
+from typoforge.llm import common, mixing, search
 
 
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
@@ -149,3 +151,53 @@ def test_scores_under_the_floor_are_left_out():
             keep = score >= score[at]
             assert got[0].tolist() == ids[keep].tolist() and got[1].tolist() == score[keep].tolist()
         assert not len(index.search(q, idf, floor=float(score[0]) + 1)[0])
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+
+def test_search_tasks_get_small_batches(spark):
+    wide = spark.range(0, 400, 1, 1).select(F.rpad(F.col("id").cast("string"), 100_000, "x").alias("text"))
+    sizes = [r["n"] for r in common.materialize(wide.mapInArrow(_sizes, "n long"), "sizes", search.BATCHES).collect()]
+    assert sum(sizes) >= 40_000_000 and max(sizes) < 8_000_000
+    assert common.CLEANUP not in spark.conf.getAll and not set(search.BATCHES) & set(spark.conf.getAll)  # as before
+
+
+def test_an_index_is_closed_in_little_memory():
+    rng = np.random.default_rng(6)
+    index = search.Index(3000, 200.0)
+    for i in range(3000):
+        index.add(i, " ".join(f"w{k}" for k in rng.integers(0, 40_000, 150)))
+    n = len(index.word)
+    tracemalloc.start()
+    index.close()
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(index.doc) == n and held < 30 * n and peak < 45 * n  # bytes a posting
+
+
+def test_long_queries_are_scored_by_their_pivots_only():
+    rng = np.random.default_rng(7)
+    index = search.Index(6000, 150.0)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.25, 150) % 20_000) for _ in range(1500)]
+    for i in range(6000):
+        index.add(i, texts[i % 1500])  # each four times: ties
+    index.close()
+    post = np.diff(index.start[index.cut])
+    for i in (3, 700, 1400):
+        q = np.array([index.number[w] for w in dict.fromkeys(search.words(texts[i]))])
+        idf = np.log(1 + (6000 - post[q] + 0.5) / (post[q] + 0.5))
+        want = np.zeros(6000)
+        for w, x in zip(q.tolist(), idf.tolist(), strict=True):
+            a, b = index.start[index.cut[w]], index.start[index.cut[w + 1]]
+            want[index.doc[a:b]] += index.part[a:b] * x
+        best = np.lexsort((index.id, -want))[:10]
+        for floor in (0.0, float(want[best[-1]])):
+            ids, score = index.search(q, idf, floor=floor)
+            assert ids.tolist() == index.id[best].tolist() and score.tolist() == want[best].tolist()
+        pivots, score = index._sharp(q, idf, 10, 0.0, None)
+        assert 10 <= len(pivots) <= 16 and score.tolist() == want[pivots].tolist()
