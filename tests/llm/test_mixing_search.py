@@ -201,3 +201,5 @@ def test_long_queries_are_scored_by_their_pivots_only():
             assert ids.tolist() == index.id[best].tolist() and score.tolist() == want[best].tolist()
         pivots, score = index._sharp(q, idf, 10, 0.0, None)
         assert 10 <= len(pivots) <= 16 and score.tolist() == want[pivots].tolist()
+        none, score = index._sharp(q, idf, 10, float(want[best[0]]) * 1.01, None)
+        assert not len(none) and score.dtype == np.float64
